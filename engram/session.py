@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,4 +25,16 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    return builder.getOrCreate()
+    return importable(builder.getOrCreate())
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers on this machine import the package wherever the session was started.
+
+    Elsewhere the package gets to the workers as any other (``--py-files`` or an archive).
+    """
+    root = str(Path(__file__).resolve().parents[1])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(":")
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
+    return spark
