@@ -57,6 +57,13 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_k")
+
+
 @query
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.token_store import read_token_store, write_token_store
