@@ -102,7 +102,7 @@ class RollingHash:
         have = cls._powers.get(seed)
         if have is None or len(have[0]) < n + 1:
             base = int(mix(np.array([seed], U64))[0]) | 1
-            size = max(n + 1, BLOCK_BYTES + (1 << 16))
+            size = n + n // 4 + 2
             have = tuple(_geometric(b, size) for b in (base, pow(base, -1, 1 << 64)))
             if size <= 4 * BLOCK_BYTES:
                 cls._powers[seed] = have
