@@ -123,3 +123,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
         "doc_id", "_k", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"),
     )
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that ``decontaminate`` doesn't find contaminated, as they are."""
+    judged = decontaminate(docs, benchmark, id_col=id_col, text_col=text_col, **options)
+    dirty = small(written(judged.where("contaminated").select(F.col("doc_id").alias("_doc"), F.col("_k").alias("_row")).distinct()))
+    on = (row_key(id_col, text_col) == dirty["_row"]) & F.col(id_col).eqNullSafe(dirty["_doc"])
+    return docs.join(dirty, on, "left_anti")

@@ -154,7 +154,7 @@ def _similar(rules: NearRules):
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size, _k (tells rows apart that share an id).
+    """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size, _k (tells rows apart that share an id), _comp (the class).
 
     A class is a connected component of links: documents with the same words, or whose shingles
     have a similarity (of the sets, or probability Jaccard by counts) of ``rules.least`` or more.
@@ -215,4 +215,21 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
     placed = made.join(component, "node", "left") if component is not None else made.withColumn("comp", F.col("node"))
     placed = placed.select("doc_id", "_k", F.coalesce("comp", "node").alias("comp"))
     named = placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(named, "comp").select("doc_id", "class_id", "class_size", "_k")
+    return placed.join(named, "comp").select("doc_id", "class_id", "class_size", "_k", F.col("comp").alias("_comp"))
+
+
+def keep_one(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class the row with the smallest id (then text hash), once."""
+    classes = written(near_duplicates(docs, rules, id_col, text_col).select("doc_id", "_k", "_comp"))
+    named = classes.groupBy("_comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_k")).alias("_first"))
+    times = classes.groupBy("_comp", "doc_id", "_k").agg(F.count(F.lit(1)).alias("_times"))
+    chosen = named.select("_comp", F.col("_first.doc_id").alias("_doc"), F.col("_first._k").alias("_row"))
+    same = (times["_comp"] == chosen["_comp"]) & (times["_k"] == chosen["_row"]) & times["doc_id"].eqNullSafe(chosen["_doc"])
+    chosen = written(chosen.join(times, same).select("_doc", "_row", "_times"))
+    keyed = docs.withColumn("_engram_key", row_key(id_col, text_col))
+    on = (keyed["_engram_key"] == chosen["_row"]) & keyed[id_col].eqNullSafe(chosen["_doc"])
+    kept = keyed.join(chosen, on).select(*keyed.columns, "_times")
+    if not chosen.where("_times > 1").isEmpty():
+        once, more = kept.where("_times = 1"), kept.where("_times > 1")
+        kept = once.unionByName(more.dropDuplicates(["_engram_key", id_col]))
+    return kept.select(*docs.columns)

@@ -137,7 +137,7 @@ SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CASE WHEN c
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("_k")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_k", "_comp")
 
 
 @query
