@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from engram.llm.textblock import blocks
-from engram.llm.tokenizing import Pieces
+from engram.llm.tokenizing import pieces
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,10 +29,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(tokenizer)
+        known = pieces(tokenizer)
         for block in blocks(batches):
-            texts = [t or "" for t in block.rows.column(1).to_pylist()]
-            n = [sum(v) for v in pieces.values(texts)]
+            n = [sum(known.values(t or "")) for t in block.rows.column(1).to_pylist()]
             yield pa.record_batch(
                 [block.rows.column(0), pa.array(block.lengths, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],

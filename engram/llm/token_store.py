@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from engram.llm.common import scratch, written
 from engram.llm.textblock import blocks
-from engram.llm.tokenizing import Pieces
+from engram.llm.tokenizing import pieces
 
 #: Start of a file; its footer (place and size of the index, hash of the dictionary).
 MAGIC = b"ENGTOK01"
@@ -48,14 +48,19 @@ def _width(tokenizer: str, end_id: int) -> str:
     return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
 
+def _packed(width: str) -> str:
+    """The width as struct writes it."""
+    return {"<u2": "<H", "<u4": "<I"}[width]
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, width: str, end_id: int) -> bytes:
     """The dictionary, from the sample; empty if the sample is too small to train on."""
     import zstandard
 
     sample = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE)
     texts = [r.text for r in sample.select("text").collect()]
-    pieces = Pieces(tokenizer, lambda ids: np.array(ids, width).tobytes())
-    arrays = [b"".join(v) + np.array([end_id], width).tobytes() for v in pieces.values(texts)]
+    end = np.array([end_id], width).tobytes()
+    arrays = [b"".join(pieces(tokenizer, _packed(width)).values(t)) + end for t in texts]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
     except zstandard.ZstdError:
@@ -66,7 +71,7 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     """Writes the ids of every whole text, ``end_id`` after each, and returns the manifest.
 
     The manifest, a written table, has a row per file: part (their order), file, n_docs, n_tokens,
-    dictionary (its bytes). Only files that it names count; those of failed tasks are never named.
+    dictionary (the file that holds it). Only files that it names count; those of failed tasks are never named.
     A null or empty text has the end id alone. A null document id comes first; documents that
     share an id stand in order of their texts. An empty table gives an empty manifest.
     """
@@ -78,9 +83,13 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     width = _width(tokenizer, end_id)
     dictionary = train_dictionary(rows, tokenizer, width, end_id)
     digest = hashlib.sha256(dictionary).digest()
+    fs, top = _open(folder)
+    fs.create_dir(top, recursive=True)
+    with fs.open_output_stream(f"{top}/dictionary") as out:
+        out.write(dictionary)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(tokenizer, lambda ids: np.array(ids, width).tobytes())
+        known = pieces(tokenizer, _packed(width))
         end = np.array([end_id], width).tobytes()
         press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=3)
         part = TaskContext.get().partitionId()
@@ -88,13 +97,12 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
         out, index, at, tokens = None, [], len(MAGIC), 0
         for block in blocks(batches):
             if out is None:
-                fs.create_dir(top, recursive=True)
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
                 out = fs.open_output_stream(f"{top}/{name}")
                 out.write(MAGIC)
             places, counts = [], []
-            for v in pieces.values([t or "" for t in block.rows.column(1).to_pylist()]):
-                ids = b"".join(v) + end
+            for text in block.rows.column(1).to_pylist():
+                ids = b"".join(known.values(text or "")) + end
                 frame = press.compress(ids)
                 out.write(frame)
                 places.append(at)
@@ -112,20 +120,23 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
         out.write(body)
         out.write(struct.pack(FOOTER, at, len(body), digest, width.encode().ljust(8)))
         out.close()
-        row = [pa.array([part], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([sum(map(len, index))], pa.int64()), pa.array([tokens], pa.int64()), pa.array([dictionary], pa.binary())]
+        row = [pa.array([part], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([sum(map(len, index))], pa.int64()), pa.array([tokens], pa.int64()), pa.array([f"{folder}/dictionary"])]
         yield pa.record_batch(row, names=["part", "file", "n_docs", "n_tokens", "dictionary"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(write, "part long, file string, n_docs long, n_tokens long, dictionary binary"))
+    return written(ordered.mapInArrow(write, "part long, file string, n_docs long, n_tokens long, dictionary string"))
 
 
 class TokenFile:
     """One file of a store: its index, and its documents by number."""
 
-    def __init__(self, path: str, dictionary: bytes):
+    def __init__(self, path: str, dictionary_path: str):
         import zstandard
 
+        fs, name = _open(dictionary_path)
+        with fs.open_input_file(name) as file:
+            dictionary = file.read()
         fs, name = _open(path)
         self.file = fs.open_input_file(name)
         size = self.file.size()

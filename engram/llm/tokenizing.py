@@ -5,14 +5,37 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+import struct
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 #: The pre-token pattern of byte-level BPE, as the vocabulary's library applies it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Blocks whose characters have the same class in every Unicode version in use here.
 SETTLED = "\u0000-՗ऀ-्ก-ฺḀ-ỿ -⁤₠-₹℀-ↄ←-⏧─-⛿　-〿ぁ-ゖァ-ヺ一-龥가-힣！-～\U0001f300-\U0001f320\U0001f600-\U0001f64f"
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
+
+
+class _Known(dict):
+    """Values of pre-tokens; one that isn't known yet is encoded by the library's model."""
+
+    def __init__(self, model, value, remembered: int):
+        super().__init__()
+        self.model, self.value, self.remembered = model, value, remembered
+        #: The printable stand-ins of bytes in byte-level vocabularies: printable ones stand for
+        #: themselves, the others follow from 256 on.
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        others = [b for b in range(256) if b not in plain]
+        self.stand_in = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+    def __missing__(self, piece: str):
+        if len(self) >= self.remembered:
+            self.clear()
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.stand_in))
+        value = self[piece] = self.value([t.id for t in tokens])
+        return value
 
 
 class Pieces:
@@ -23,42 +46,37 @@ class Pieces:
         import regex
         from tokenizers import Tokenizer
 
-        spec = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         pre = spec.get("pre_tokenizer") or {}
-        plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        added = [t for t in spec.get("added_tokens", [])]
-        plain = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+        added = spec.get("added_tokens", [])
+        self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.plain = self.plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         self.tokenizer = Tokenizer.from_file(path)
-        self.value, self.remembered, self.plain = value, remembered, plain
+        self.value = value
         self.find = regex.compile(PATTERN).findall
         self.odd = re.compile(f"[^{SETTLED}]").search
         self.special = {t["content"]: value([t["id"]]) for t in added}
         self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")").split if added else None
-        self.known: dict[str, object] = {}
+        self.known = _Known(self.tokenizer.model, value, remembered)
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def values(self, texts: Iterable[str]) -> list[list]:
-        """For each text, the values of its pre-tokens in order (special strings as the library takes them)."""
-        split, out = [], []
-        for text in texts:
-            if not self.plain or (not text.isascii() and self.odd(text)):
-                split.append(None)
-            elif self.cut and any(s in text for s in self.special):
-                split.append([w for k, part in enumerate(self.cut(text)) for w in ((part,) if k % 2 else self.find(part))])
-            else:
-                split.append(self.find(text))
-        new = set().union(*(s for s in split if s)).difference(self.known, self.special)
-        if len(self.known) + len(new) > self.remembered:
-            self.known = {}
-            new = set().union(*(s for s in split if s)).difference(self.special)
-        if new:
-            pieces = list(new)
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            self.known.update((p, self.value(e.ids)) for p, e in zip(pieces, encode(pieces, add_special_tokens=False), strict=True))
-            self.known.update(self.special)
+    def values(self, text: str) -> Iterator:
+        """The values of the text's pre-tokens in order; special strings as the library takes them."""
+        if not self.plain or (not text.isascii() and self.odd(text)):
+            return iter((self.value(self.ids(text)),))
         get = self.known.__getitem__
-        for text, pieces in zip(texts, split, strict=True):
-            out.append([self.value(self.ids(text))] if pieces is None else list(map(get, pieces)))
-        return out
+        if self.cut and any(s in text for s in self.special):
+            return chain.from_iterable((self.special[part],) if k % 2 else map(get, self.find(part)) for k, part in enumerate(self.cut(text)))
+        return map(get, self.find(text))
+
+
+@lru_cache(2)
+def pieces(path: str, width: str | None = None) -> Pieces:
+    """The pieces that this process remembers, over all its tasks: numbers of ids, or ids as bytes."""
+    if width is None:
+        return Pieces(path)
+    kind = struct.Struct(width).pack
+    return Pieces(path, lambda ids: b"".join(map(kind, ids)))
