@@ -17,10 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.common import row_key, written
@@ -34,12 +35,14 @@ _STEP = U64(0xD1B54A32D192ED03)
 class NearRules:
     """Shingles of ``words`` words (a shorter document is one shingle); a link has a similarity of
     ``least`` or more; ``bands`` bands of ``rows`` components: at a similarity of 0.8 a link shares
-    no band in 1 of 40 000 cases."""
+    no band in 1 of 40 000 cases. Candidates are verified unless more than ``unlike`` of all their
+    components differ, as links do in 1 of 4 million cases."""
 
     words: int = 5
     least: float = 0.8
     bands: int = 20
     rows: int = 4
+    unlike: float = 0.425
 
 
 def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -95,8 +98,28 @@ def signatures(value: np.ndarray, weight: np.ndarray, text: np.ndarray, texts: i
     return found.reshape(texts, m)
 
 
-def sketch(block: Block, rules: NearRules) -> tuple[list[bytes], np.ndarray]:
-    """Of each text, the digest of its words (of its bytes, if it has none) and its band keys (texts x bands)."""
+#: Seven components to a long, seven bits of each.
+_PACKED, _SEVENS, _EIGHTS = 7, 0x7F7F7F7F7F7F7F, 0x80808080808080
+
+
+def packed(signature: np.ndarray) -> np.ndarray:
+    """Seven bits of each component, seven components to a long."""
+    texts, m = signature.shape
+    bits = np.zeros((texts, -(-m // _PACKED), 8), np.uint8)
+    flat = np.zeros((texts, bits.shape[1] * _PACKED), np.uint8)
+    flat[:, :m] = (mix(signature) & U64(0x7F)).astype(np.uint8)
+    bits[:, :, :_PACKED] = flat.reshape(texts, -1, _PACKED)
+    return bits.view("<i8")[:, :, 0]
+
+
+def differing(a: Column, b: Column, longs: int) -> Column:
+    """How many components of two packed signatures differ."""
+    unlike = [F.bit_count((F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))) + F.lit(_SEVENS)).bitwiseAND(F.lit(_EIGHTS))) for i in range(longs)]
+    return reduce(Column.__add__, unlike)
+
+
+def sketch(block: Block, rules: NearRules) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of each text, the digest of its words (of its bytes, if it has none), its band keys (texts x bands) and its packed signature."""
     word, text = word_hashes(block)
     texts = len(block.lengths)
     place = np.arange(len(word), dtype=np.int64) - np.searchsorted(text, text, side="left")
@@ -115,7 +138,7 @@ def sketch(block: Block, rules: NearRules) -> tuple[list[bytes], np.ndarray]:
     keys = np.zeros((texts, rules.bands), U64)
     for r in range(rules.rows):
         keys = mix(keys * _STEP + signature[:, r :: rules.rows][:, : rules.bands])
-    return digests, mix(keys + np.arange(1, rules.bands + 1, dtype=U64)[None, :] * _STEP)
+    return digests, mix(keys + np.arange(1, rules.bands + 1, dtype=U64)[None, :] * _STEP), packed(signature)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -153,6 +176,42 @@ def _similar(rules: NearRules):
     return compare
 
 
+def _parted(entries: DataFrame) -> DataFrame:
+    """The entries (key, node, comp) of buckets that hold several components."""
+    parted = entries.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("key")
+    return entries.join(parted, "key", "left_semi")
+
+
+def _possible(entries: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
+    """Without nodes that can't have a link to another component.
+
+    Neither similarity is above the fraction of a node's shingles (by occurrences or as a set) that
+    nodes of other components have too. Leaving some out lowers the others' fractions, so this goes
+    on while it helps.
+    """
+    held = entries.select("node", "comp").distinct()
+    count = entries.count()
+    while count:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in blocks(batches):
+                value, weight, owner = shingles(*word_hashes(block), rules.words)
+                own = block.rows.select(["node", "comp"]).take(pa.array(owner))
+                yield pa.record_batch([*own.columns, pa.array(value.astype(np.int64)), pa.array(weight.astype(np.int32))], names=["node", "comp", "s", "w"])
+
+        shingled = texts.join(held, "node").select("node", "comp", "text").mapInArrow(rows, "node binary, comp binary, s long, w int")
+        shingled = shingled.select(F.xxhash64("node").alias("n"), F.xxhash64("comp").alias("c"), "s", "w")
+        across = shingled.groupBy("s").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).where("_c <> _d").select("s", F.lit(1).alias("_across"))
+        mine = F.coalesce("_across", F.lit(0))
+        share = shingled.join(across, "s", "left").groupBy("n").agg((F.sum(mine) / F.count(F.lit(1))).alias("_set"), (F.sum(mine * F.col("w")) / F.sum("w")).alias("_bag"))
+        kept = written(share.where(F.greatest("_set", "_bag") >= rules.least).select("n"))
+        entries = written(_parted(entries.withColumn("n", F.xxhash64("node")).join(kept, "n", "left_semi").drop("n")))
+        now = entries.count()
+        if now > 0.9 * count:
+            break
+        held, count = entries.select("node", "comp").distinct(), now
+    return entries
+
+
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size, _k (tells rows apart that share an id), _comp (the class).
 
@@ -167,15 +226,15 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, limit=2 << 20):
-            digests, keys = sketch(block, rules)
-            flat = pa.array(keys.astype(np.int64).ravel())
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(digests) + 1, dtype=np.int32) * rules.bands), flat)
+            digests, keys, parts = sketch(block, rules)
+            bands, parts = (pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.int64).ravel())) for x in (keys, parts))
             worded = pa.array(np.bincount(word_hashes(block)[1], minlength=len(digests)) > 0)
-            yield pa.record_batch([block.rows.column("doc_id"), block.rows.column("_k"), pa.array(digests, pa.binary()), bands, worded], names=["doc_id", "_k", "node", "bands", "worded"])
+            yield pa.record_batch([block.rows.column("doc_id"), block.rows.column("_k"), pa.array(digests, pa.binary()), bands, parts, worded], names=["doc_id", "_k", "node", "bands", "parts", "worded"])
 
-    made = written(rows.mapInArrow(sketches, f"doc_id {kind}, _k long, node binary, bands array<long>, worded boolean"))
-    nodes = made.where("worded").groupBy("node").agg(F.min(F.struct("doc_id", "_k")).alias("rep"), F.first("bands").alias("bands"))
-    entries = written(nodes.select("node", "rep", F.explode("bands").alias("key")))
+    made = written(rows.mapInArrow(sketches, f"doc_id {kind}, _k long, node binary, bands array<long>, parts array<long>, worded boolean"))
+    nodes = made.where("worded").groupBy("node").agg(F.min(F.struct("doc_id", "_k")).alias("rep"), F.first("bands").alias("bands"), F.first("parts").alias("parts"))
+    nodes = written(nodes)
+    entries = nodes.select("node", "rep", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     entries = written(entries.join(shared, "key"))
 
@@ -184,14 +243,17 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
     texts = written(texts.dropDuplicates(["node"]))
     entries = entries.select("key", "node")
 
-    component = None
-    links = compared = pivots_before = None
+    parts = written(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "parts"))
+    longs = -(-rules.bands * rules.rows // _PACKED)
+    component = links = compared = pivots_before = None
     choices = 1
     while True:
         now = entries if component is None else entries.join(component, "node", "left")
         now = now.withColumn("comp", F.col("node") if component is None else F.coalesce("comp", "node"))
-        parted = now.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("key")
-        now = written(now.join(parted, "key", "left_semi"))
+        now = written(_parted(now))
+        if component is not None or compared is not None:
+            now = _possible(now, texts, rules)
+            entries = now.select("key", "node")
         fresh = now if pivots_before is None else now.join(pivots_before, ["key", "node"], "left_anti")
         chosen = fresh.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(choices)).alias("_choice")).agg(F.min(F.struct("node", "comp")).alias("p"))
         pivots = written(chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")))
@@ -204,9 +266,12 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = written(pairs)
         compared = pairs if compared is None else compared.unionByName(pairs)
-        if not pairs.isEmpty():
+        sides = [parts.select(F.col("node").alias(x), F.col("parts").alias(f"_{x}")) for x in "ab"]
+        near = pairs.join(sides[0], "a").join(sides[1], "b").where(differing(F.col("_a"), F.col("_b"), longs) <= rules.unlike * rules.bands * rules.rows)
+        near = written(near.select("a", "b"))
+        if not near.isEmpty():
             left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-            found = written(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_similar(rules), "a binary, b binary"))
+            found = written(near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_similar(rules), "a binary, b binary"))
             links = found if links is None else links.unionByName(found)
             component = connected_components(links)
         choices *= 8
