@@ -6,11 +6,9 @@ the shingle that arrives first. A shingle stops as soon as its next arrival is l
 component's first. Two documents agree on a component with the probability Jaccard similarity of
 their weighted shingles.
 
-Documents with the same words are one node. Nodes that agree on a band share a bucket. No bucket is
-expanded into pairs: in each round a few pivots of a bucket are compared with the members that are
-in other components than theirs, until each bucket is one component or all its members have been
-pivots; so links within what is already connected cost nothing, and none between unconnected nodes
-of a bucket is left out.
+Documents with the same words are one node. Nodes that agree on a band share a bucket; buckets are
+never expanded into pairs (see ``bucket_components``). After the first round, nodes are left out
+whose shingles are too rarely those of others for a link.
 """
 
 from __future__ import annotations
@@ -25,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.common import row_key, written
-from engram.llm.components import connected_components
+from engram.llm.components import bucket_components, parted
 from engram.llm.textblock import TERM, U64, Block, RollingHash, blocks, lowered, mix
 
 _STEP = U64(0xD1B54A32D192ED03)
@@ -176,12 +174,6 @@ def _similar(rules: NearRules):
     return compare
 
 
-def _parted(entries: DataFrame) -> DataFrame:
-    """The entries (key, node, comp) of buckets that hold several components."""
-    parted = entries.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("key")
-    return entries.join(parted, "key", "left_semi")
-
-
 def _possible(entries: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
     """Without nodes that can't have a link to another component.
 
@@ -204,7 +196,7 @@ def _possible(entries: DataFrame, texts: DataFrame, rules: NearRules) -> DataFra
         mine = F.coalesce("_across", F.lit(0))
         share = shingled.join(across, "s", "left").groupBy("n").agg((F.sum(mine) / F.count(F.lit(1))).alias("_set"), (F.sum(mine * F.col("w")) / F.sum("w")).alias("_bag"))
         kept = written(share.where(F.greatest("_set", "_bag") >= rules.least).select("n"))
-        entries = written(_parted(entries.withColumn("n", F.xxhash64("node")).join(kept, "n", "left_semi").drop("n")))
+        entries = written(parted(entries.withColumn("n", F.xxhash64("node")).join(kept, "n", "left_semi").drop("n")))
         now = entries.count()
         if now > 0.9 * count:
             break
@@ -245,37 +237,15 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
 
     parts = written(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "parts"))
     longs = -(-rules.bands * rules.rows // _PACKED)
-    component = links = compared = pivots_before = None
-    choices = 1
-    while True:
-        now = entries if component is None else entries.join(component, "node", "left")
-        now = now.withColumn("comp", F.col("node") if component is None else F.coalesce("comp", "node"))
-        now = written(_parted(now))
-        if component is not None or compared is not None:
-            now = _possible(now, texts, rules)
-            entries = now.select("key", "node")
-        fresh = now if pivots_before is None else now.join(pivots_before, ["key", "node"], "left_anti")
-        chosen = fresh.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(choices)).alias("_choice")).agg(F.min(F.struct("node", "comp")).alias("p"))
-        pivots = written(chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")))
-        if pivots.isEmpty():
-            break
-        before = pivots.select("key", F.col("pivot").alias("node"))
-        pivots_before = before if pivots_before is None else pivots_before.unionByName(before)
-        pairs = now.join(pivots, "key").where("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        compared = pairs if compared is None else compared.unionByName(pairs)
+
+    def similar(pairs: DataFrame) -> DataFrame:
         sides = [parts.select(F.col("node").alias(x), F.col("parts").alias(f"_{x}")) for x in "ab"]
         near = pairs.join(sides[0], "a").join(sides[1], "b").where(differing(F.col("_a"), F.col("_b"), longs) <= rules.unlike * rules.bands * rules.rows)
         near = written(near.select("a", "b"))
-        if not near.isEmpty():
-            left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-            found = written(near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_similar(rules), "a binary, b binary"))
-            links = found if links is None else links.unionByName(found)
-            component = connected_components(links)
-        choices *= 8
+        left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        return near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_similar(rules), "a binary, b binary")
 
+    component = bucket_components(entries, similar, lambda now: _possible(now, texts, rules))
     made = made.select("doc_id", "_k", "node")
     placed = made.join(component, "node", "left") if component is not None else made.withColumn("comp", F.col("node"))
     placed = placed.select("doc_id", "_k", F.coalesce("comp", "node").alias("comp"))
