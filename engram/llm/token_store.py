@@ -30,8 +30,8 @@ from engram.llm.tokenizing import pieces
 MAGIC = b"ENGTOK01"
 FOOTER = "<QQ32s8s"
 
-#: The dictionary is trained on this many documents at most, of at most so many characters each:
-#: those with the smallest hashes of their ids.
+#: The dictionary is trained on this many documents at most, of at most so many characters each,
+#: chosen by hashes of their ids.
 SAMPLE, SAMPLE_CHARS = 400, 20_000
 DICTIONARY_BYTES = 1 << 16
 #: Bytes that a reader takes at once.
@@ -57,8 +57,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, width: str, end_id: int) -
     """The dictionary, from the sample; empty if the sample is too small to train on."""
     import zstandard
 
-    sample = docs.where(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(SAMPLE)
-    texts = [r.text for r in sample.select("text").collect()]
+    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.select("doc_id").count()))) < SAMPLE
+    texts = [r.text for r in docs.where(chosen & (F.length("text") <= SAMPLE_CHARS)).select("text").limit(SAMPLE).collect()]
     end = np.array([end_id], width).tobytes()
     arrays = [b"".join(pieces(tokenizer, _packed(width)).values(t)) + end for t in texts]
     try:
@@ -91,7 +91,10 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = pieces(tokenizer, _packed(width))
         end = np.array([end_id], width).tobytes()
-        press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdCompressor(level=3)
+        shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if shared:
+            shared.precompute_compress(level=3)
+        press = zstandard.ZstdCompressor(level=3, dict_data=shared)
         part = TaskContext.get().partitionId()
         fs, top = _open(folder)
         out, index, at, tokens = None, [], len(MAGIC), 0
