@@ -138,26 +138,29 @@ def _induce_one_by_one(text: np.ndarray, small: np.ndarray, sizes: np.ndarray, l
     """As ``_induce_buckets``, in plain scans over lists."""
     n = len(text)
     ends = np.cumsum(sizes)
-    t, s = text.tolist(), small.tolist()
+    t = text.tolist()
     array = [-1] * n
     tails = ends.tolist()
     for p in lms.tolist()[::-1]:
         tails[t[p]] -= 1
         array[tails[t[p]]] = p
+    # for each place the byte before it if that suffix is L (S), else -1; the last entry serves free slots
+    before = np.append(-1, text[:-1])
+    kind = np.append(False, small[:-1])
     heads = (ends - sizes).tolist()
-    for at in range(n):
-        p = array[at] - 1
-        if p >= 0 and not s[p]:
-            c = t[p]
-            array[heads[c]] = p
+    large = [*np.where(kind, -1, before).tolist(), -1]
+    for p in array:
+        c = large[p]
+        if c >= 0:
+            array[heads[c]] = p - 1
             heads[c] += 1
     tails = ends.tolist()
-    for at in range(n - 1, -1, -1):
-        p = array[at] - 1
-        if p >= 0 and s[p]:
-            c = t[p]
+    less = [*np.where(kind, before, -1).tolist(), -1]
+    for p in reversed(array):
+        c = less[p]
+        if c >= 0:
             tails[c] -= 1
-            array[tails[c]] = p
+            array[tails[c]] = p - 1
     array[0] = n - 1
     return np.array(array, np.int64)
 

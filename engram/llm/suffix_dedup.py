@@ -7,8 +7,9 @@ stretch. Stretches whose hash no other has are dropped, and those whose bytes eq
 are repeats without more ado. What is left are the stretches, each only once, that share a hash and
 differ somewhere. They are dealt to shards by that hash; a shard's suffix array is made by induced
 sorting, and windows whose permuted common prefix with a neighbour is as long as a window are
-repeats. A hash with more different stretches than a shard should hold is not sorted: its windows
-are counted one by one, by a hash that is combined before it is shuffled.
+repeats. A hash with more different stretches than a shard should hold is parted: the windows of its
+stretches are halved by their distance from the place, and the halves are dealt anew, by a hash of
+the bytes that all windows of a half have in common, until what is left is small or single windows.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from engram.llm.induced import permuted_prefixes, suffix_array
 from engram.llm.textblock import U64, Block, RollingHash, blocks
 
 #: Bytes of a gram; a window must be longer.
-GRAM = 48
-#: A hash with more different stretches is counted window by window.
-MANY = 400
-#: Bytes of stretches in one suffix array.
-SHARD_BYTES = 1 << 20
+GRAM = 80
+#: A hash with more different stretches is parted before it is sorted.
+MANY = 3000
+#: Bytes of stretches in one suffix array, if a hash doesn't have more: at most 3000 times 320.
+SHARD_BYTES = 1 << 18
 #: Bytes of text hashed at once.
 HASH_BYTES = 2 << 20
 #: Ends a stretch in a shard; no byte of UTF-8.
@@ -38,10 +39,10 @@ BREAK = 0xFF
 
 
 def stretches(block: Block, length: int) -> tuple[np.ndarray, ...]:
-    """The stretches of a block: text, first and last window start (in the text), hash, and two hashes of all its bytes."""
+    """The stretches of a block: text, first and last window start and dealing place (in the text), hash, and two hashes of all bytes."""
     data, offsets = block.data, block.offsets
     if len(data) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, U64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64, U64, U64))
     one, two = RollingHash(data, 1), RollingHash(data, 2)
     gram = min(GRAM, length)
     places = np.arange(len(data) - gram + 1)
@@ -53,14 +54,15 @@ def stretches(block: Block, length: int) -> tuple[np.ndarray, ...]:
     inside = starts + length <= offsets[text + 1]
     starts, text = starts[inside], text[inside]
     if not len(starts):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, U64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64, U64, U64))
     place = (least[starts] & U64(0xFFFFFFFF)).astype(np.int64)
     new = np.append(True, (place[1:] != place[:-1]) | (text[1:] != text[:-1]))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     a, b, text = starts[first], starts[last], text[first]
     end = b + length
-    return text, a - offsets[text], b - offsets[text], hashes[place[first]], one(a, end), two(a, end)
+    place = place[first]
+    return text, a - offsets[text], b - offsets[text], place - offsets[text], hashes[place], one(a, end), two(a, end)
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -103,22 +105,21 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, limit=HASH_BYTES):
-            text, a, b, h, one, two = stretches(block, length)
+            text, a, b, p, h, one, two = stretches(block, length)
             own = block.rows.select(["doc_id", "_k"]).take(pa.array(text))
-            cols = [pa.array(x.astype(np.int64)) for x in (h, one, two)] + [pa.array(x.astype(np.int32)) for x in (a, b)]
-            yield pa.record_batch([*own.columns, *cols], names=["doc_id", "_k", "h", "g1", "g2", "a", "b"])
+            cols = [pa.array(x.astype(np.int64)) for x in (h, one, two)] + [pa.array(x.astype(np.int32)) for x in (a, b, p)]
+            yield pa.record_batch([*own.columns, *cols], names=["doc_id", "_k", "h", "g1", "g2", "a", "b", "p"])
 
-    all_ = rows.mapInArrow(cut, f"{ids}, h long, g1 long, g2 long, a int, b int")
+    all_ = rows.mapInArrow(cut, f"{ids}, h long, g1 long, g2 long, a int, b int, p int")
     shared = all_.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
     shared = written(all_.join(shared, "h"))
 
-    distinct = shared.groupBy("h", "g1", "g2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "_k", "a", "b")).alias("at"))
-    kinds = shared.groupBy("h").agg(F.min(F.struct("g1", "g2")).alias("_low"), F.max(F.struct("g1", "g2")).alias("_high"), F.approx_count_distinct("g1").alias("_n"))
-    distinct = written(distinct.join(kinds, "h").select("h", "g1", "g2", "times", "at", (F.col("_low") != F.col("_high")).alias("mixed"), (F.col("_n") > MANY).alias("many")))
+    distinct = shared.groupBy("h", "g1", "g2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "_k", "a", "b", "p")).alias("at"))
+    distinct = written(distinct.join(_kinds(shared), "h").select("h", "g1", "g2", "times", "at", "mixed", "many"))
     again = distinct.where("times > 1").select("h", "g1", "g2")
     whole = shared.join(again, ["h", "g1", "g2"]).select("doc_id", "_k", "a", (F.col("b") + length).alias("b"))
 
-    asked = distinct.where("mixed").groupBy(F.col("at.doc_id").alias("_doc"), F.col("at._k").alias("_row")).agg(F.collect_list(F.struct("h", F.col("at.a").alias("a"), F.col("at.b").alias("b"), "times", "many")).alias("asked"))
+    asked = distinct.where("mixed").groupBy(F.col("at.doc_id").alias("_doc"), F.col("at._k").alias("_row")).agg(F.collect_list(F.struct("h", F.col("at.a").alias("a"), F.col("at.b").alias("b"), F.col("at.p").alias("p"), "times", "many")).alias("asked"))
     texts = rows.join(asked, (rows["_k"] == asked["_row"]) & rows["doc_id"].eqNullSafe(asked["_doc"])).select("doc_id", "_k", "text", "asked")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +129,12 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
                 own, own_k = block.rows.column("doc_id").to_pylist(), block.rows.column("_k").to_pylist()
                 for t, asked_here in enumerate(block.rows.column("asked").to_pylist()):
                     at = int(block.offsets[t])
-                    out += [(own[t], own_k[t], x["h"], x["a"], x["times"], x["many"], data[at + x["a"] : at + x["b"] + length]) for x in asked_here]
-                cols = list(zip(*out, strict=True)) or [()] * 7
-                kinds = [block.rows.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "_k", "h", "a", "times", "many", "bytes"])
+                    out += [(own[t], own_k[t], x["h"], x["a"], x["p"], x["times"], x["many"], data[at + x["a"] : at + x["b"] + length]) for x in asked_here]
+                cols = list(zip(*out, strict=True)) or [()] * 8
+                kinds = [block.rows.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "_k", "h", "a", "p", "times", "many", "bytes"])
 
-    parts = written(texts.mapInArrow(extract, f"{ids}, h long, a int, times long, many boolean, bytes binary").dropDuplicates(["doc_id", "_k", "h", "a"]))
+    parts = written(texts.mapInArrow(extract, f"{ids}, h long, a int, p int, times long, many boolean, bytes binary").dropDuplicates(["doc_id", "_k", "h", "a"]))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(held: list[dict]) -> pa.RecordBatch:
@@ -156,25 +157,56 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield shard(held)
 
-    few = parts.where("NOT many").select("doc_id", "_k", "h", "a", "times", "bytes")
-    few = few.repartition("h").sortWithinPartitions("h").mapInArrow(sort, f"{ids}, a int, b int")
+    few, spans, many = parts.where("NOT many"), whole, parts.where("many")
+    width = length - min(GRAM, length) + 1
+    while width > 1 and not many.isEmpty():
+        width = -(-width // 2)
+        halves = written(many.mapInArrow(_parted(length, width), f"{ids}, times long, a int, p int, h long, g1 long, g2 long, bytes binary"))
+        one = halves.groupBy("h", "g1", "g2").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "_k", "a", "p", "bytes")).alias("at"))
+        one = written(one.join(_kinds(halves), "h").select("h", "g1", "g2", "at.*", "times", "mixed", "many"))
+        again = one.where("times > 1").select("h", "g1", "g2")
+        spans = spans.unionByName(halves.where("times = 1").join(again, ["h", "g1", "g2"]).select("doc_id", "_k", "a", (F.col("a") + F.length("bytes")).alias("b")))
+        parts = one.where("mixed").select(*parts.columns)
+        few, many = few.unionByName(parts.where("NOT many")), parts.where("many")
+    few = few.select("doc_id", "_k", "h", "a", "times", "bytes").repartition("h").sortWithinPartitions("h")
+    return spans.unionByName(few.mapInArrow(sort, f"{ids}, a int, b int"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _kinds(rows: DataFrame) -> DataFrame:
+    """Of each hash, whether its stretches (by g1, g2) differ and whether they are many."""
+    kinds = rows.groupBy("h").agg(F.min(F.struct("g1", "g2")).alias("_low"), F.max(F.struct("g1", "g2")).alias("_high"), F.approx_count_distinct("g1").alias("_n"))
+    return kinds.select("h", (F.col("_low") != F.col("_high")).alias("mixed"), (F.col("_n") > MANY).alias("many"))
+
+
+def _parted(length: int, width: int):
+    """Cuts stretches into parts of at most ``width`` windows, by the windows' distance before the dealing place."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks([batch], "bytes", HASH_BYTES):
-                n = np.maximum(block.lengths - length + 1, 0)
-                row = np.repeat(np.arange(len(n)), n)
-                within = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                at = block.offsets[row] + within
-                own = block.rows.select(["doc_id", "_k", "times"]).take(pa.array(row))
-                place = np.asarray(block.rows.column("a"))[row] + within
-                keys = [pa.array(RollingHash(block.data, s)(at, at + length).astype(np.int64)) for s in (1, 2)]
-                yield pa.record_batch([*own.columns, pa.array(place.astype(np.int32)), *keys], names=["doc_id", "_k", "times", "a", "g1", "g2"])
-
-    each = parts.where("many").select("doc_id", "_k", "a", "times", "bytes").mapInArrow(windows, f"{ids}, times long, a int, g1 long, g2 long")
-    often = each.groupBy("g1", "g2").agg(F.sum("times").alias("_n")).where("_n > 1").select("g1", "g2")
-    often = each.where("times = 1").join(often, ["g1", "g2"]).select("doc_id", "_k", "a", (F.col("a") + length).alias("b"))
-    return whole.unionByName(few).unionByName(often)
+                rows, starts, ends, common = [], [], [], []
+                first, place = (np.asarray(block.rows.column(c)).tolist() for c in ("a", "p"))
+                for r, (at, size) in enumerate(zip(block.offsets.tolist(), block.lengths.tolist(), strict=False)):
+                    p = place[r] - first[r]
+                    last = size - length
+                    for j in range(max(0, p - last) // width, p // width + 1):
+                        rows.append(r)
+                        starts.append(at + max(0, p - (j + 1) * width + 1))
+                        ends.append(at + min(last, p - j * width) + length)
+                        common.append((at + p - j * width, at + p - (j + 1) * width + 1 + length, j))
+                rows, starts, ends, (a, b, j) = (np.array(x, np.int64) for x in (rows, starts, ends, list(zip(*common, strict=True)) or [(), (), ()]))
+                one, two = (RollingHash(block.data, s) for s in (1, 2))
+                offset = (starts - a).astype(U64)
+                own = block.rows.select(["doc_id", "_k", "times"]).take(pa.array(rows))
+                at = np.asarray(block.rows.column("a"))[rows] + starts - block.offsets[rows]
+                p = np.asarray(block.rows.column("p"))[rows]
+                data = block.data.tobytes()
+                keys = [pa.array(x.astype(np.int64)) for x in (one(a, b) + j.astype(U64), one(starts, ends) + offset, two(starts, ends) + offset)]
+                parts = pa.array([data[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary())
+                cols = [*own.columns, pa.array(at.astype(np.int32)), pa.array(p.astype(np.int32)), *keys, parts]
+                yield pa.record_batch(cols, names=["doc_id", "_k", "times", "a", "p", "h", "g1", "g2", "bytes"])
+
+    return part
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, with_kept: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -54,7 +54,7 @@ def test_suffix_arrays_and_prefixes(monkeypatch, bucket):
             assert (before[i], prefix[i]) == (j, k)
 
 
-@pytest.mark.parametrize("many", [400, 2])
+@pytest.mark.parametrize("many", [3000, 2])
 def test_equals_brute_force(spark, monkeypatch, many):
     monkeypatch.setattr(suffix_dedup, "MANY", many)
     monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 3000)
