@@ -40,28 +40,24 @@ def bucket_components(entries: DataFrame, similar: Callable[[DataFrame], DataFra
     """Components (node, comp) of the links among nodes that share a bucket; None without links.
 
     ``entries`` are (key, node); ``similar`` takes pairs (a, b) and returns those that are links.
-    No bucket is expanded into pairs: in each round some pivots of a bucket are compared with those
-    of its members that are in other components, until each bucket is one component or all its
-    members have been pivots. So links within what is already connected cost nothing, and none
-    between unconnected nodes of a bucket is left out. From the second round on ``possible`` may
-    drop entries (key, node, comp) of nodes that can't have links to other components.
+    No bucket is expanded into pairs: in each round some of its members are pivots, which are
+    compared with those in other components and then leave the bucket, until it is one component
+    or empty. So links within what is already connected cost nothing, and none between unconnected
+    nodes of a bucket is left out. From the second round on ``possible`` may drop entries (key,
+    node, comp) of nodes that can't have links to other components of their buckets.
     """
-    component = links = compared = past = None
+    component = links = compared = None
     choices = 1
     while True:
         now = entries if component is None else entries.join(component, "node", "left")
         now = now.withColumn("comp", F.col("node") if component is None else F.coalesce("comp", "node"))
         now = written(parted(now))
-        if compared is not None and possible is not None:
+        if compared is not None and possible is not None and not now.isEmpty():
             now = possible(now)
-        entries = now.select("key", "node")
-        fresh = now if past is None else now.join(past, ["key", "node"], "left_anti")
-        chosen = fresh.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(choices)).alias("_choice")).agg(F.min(F.struct("node", "comp")).alias("p"))
+        chosen = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(choices)).alias("_choice")).agg(F.min(F.struct("node", "comp")).alias("p"))
         pivots = written(chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")))
         if pivots.isEmpty():
             return component
-        here = pivots.select("key", F.col("pivot").alias("node"))
-        past = here if past is None else past.unionByName(here)
         pairs = now.join(pivots, "key").where("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
@@ -71,4 +67,5 @@ def bucket_components(entries: DataFrame, similar: Callable[[DataFrame], DataFra
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             component = connected_components(links)
+        entries = written(now.join(pivots.withColumnRenamed("pivot", "node"), ["key", "node"], "left_anti").select("key", "node"))
         choices *= 8

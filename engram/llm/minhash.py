@@ -4,7 +4,7 @@ A document's shingles, weighted by how often they occur in it, each send a Poiss
 arrivals, faster for heavier ones; each arrival falls on a random component, and a component keeps
 the shingle that arrives first. A shingle stops as soon as its next arrival is later than every
 component's first. Two documents agree on a component with the probability Jaccard similarity of
-their weighted shingles.
+their weighted shingles; candidates are then verified by the Jaccard similarity of their sets.
 
 Documents with the same words are one node. Nodes that agree on a band share a bucket; buckets are
 never expanded into pairs (see ``bucket_components``). After the first round, nodes are left out
@@ -139,18 +139,10 @@ def sketch(block: Block, rules: NearRules) -> tuple[list[bytes], np.ndarray, np.
     return digests, mix(keys + np.arange(1, rules.bands + 1, dtype=U64)[None, :] * _STEP), packed(signature)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Jaccard similarity of the sets, and probability Jaccard similarity of the weighted shingles."""
-    values = np.union1d(a[0], b[0])
-    x, y = np.zeros(len(values)), np.zeros(len(values))
-    x[np.searchsorted(values, a[0])] = a[1]
-    y[np.searchsorted(values, b[0])] = b[1]
-    both = (x > 0) & (y > 0)
-    if not both.any():
-        return 0.0, 0.0
-    pairs, times = np.unique(np.stack([x[both], y[both]]), axis=1, return_counts=True)
-    probability = sum(t / np.maximum(x / p, y / q).sum() for (p, q), t in zip(pairs.T, times, strict=True))
-    return float(both.sum() / len(values)), float(probability)
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
 
 def _similar(rules: NearRules):
@@ -161,54 +153,53 @@ def _similar(rules: NearRules):
                 sides = []
                 for name in ("ta", "tb"):
                     block = side_a if name == "ta" else next(blocks([rows], name, 1 << 40))
-                    value, weight, owner = shingles(*word_hashes(block), rules.words)
-                    cut = np.searchsorted(owner, np.arange(len(rows) + 1))
-                    sides.append((value, weight, cut))
-                (va, wa, ca), (vb, wb, cb) = sides
-                alike = [
-                    max(similarity((va[ca[i] : ca[i + 1]], wa[ca[i] : ca[i + 1]]), (vb[cb[i] : cb[i + 1]], wb[cb[i] : cb[i + 1]]))) >= rules.least
-                    for i in range(len(rows))
-                ]
+                    value, _, owner = shingles(*word_hashes(block), rules.words)
+                    sides.append((value, np.searchsorted(owner, np.arange(len(rows) + 1))))
+                (va, ca), (vb, cb) = sides
+                alike = [similarity(va[ca[i] : ca[i + 1]], vb[cb[i] : cb[i + 1]]) >= rules.least for i in range(len(rows))]
                 yield rows.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     return compare
 
 
 def _possible(entries: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
-    """Without nodes that can't have a link to another component.
+    """Without nodes that can't have a link to another component of their buckets.
 
-    Neither similarity is above the fraction of a node's shingles (by occurrences or as a set) that
-    nodes of other components have too. Leaving some out lowers the others' fractions, so this goes
-    on while it helps.
+    A link between n and m shingles takes least / (1 + least) * (n + m) common ones. Common ones are
+    those that nodes of other components have too, and m is at least the smallest number in the
+    node's buckets. Leaving some nodes out lowers what others have in common, so this goes on while
+    it helps.
     """
-    held = entries.select("node", "comp").distinct()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            value, _, owner = shingles(*word_hashes(block), rules.words)
+            own = block.rows.select(["node", "comp"]).take(pa.array(owner))
+            yield pa.record_batch([*own.columns, pa.array(value.astype(np.int64))], names=["node", "comp", "s"])
+
     count = entries.count()
     while count:
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for block in blocks(batches):
-                value, weight, owner = shingles(*word_hashes(block), rules.words)
-                own = block.rows.select(["node", "comp"]).take(pa.array(owner))
-                yield pa.record_batch([*own.columns, pa.array(value.astype(np.int64)), pa.array(weight.astype(np.int32))], names=["node", "comp", "s", "w"])
-
-        shingled = texts.join(held, "node").select("node", "comp", "text").mapInArrow(rows, "node binary, comp binary, s long, w int")
-        shingled = shingled.select(F.xxhash64("node").alias("n"), F.xxhash64("comp").alias("c"), "s", "w")
+        held = entries.select("node", "comp").distinct()
+        shingled = texts.join(held, "node").select("node", "comp", "text").mapInArrow(rows, "node binary, comp binary, s long")
+        shingled = shingled.select(F.xxhash64("node").alias("n"), F.xxhash64("comp").alias("c"), "s")
         across = shingled.groupBy("s").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).where("_c <> _d").select("s", F.lit(1).alias("_across"))
-        mine = F.coalesce("_across", F.lit(0))
-        share = shingled.join(across, "s", "left").groupBy("n").agg((F.sum(mine) / F.count(F.lit(1))).alias("_set"), (F.sum(mine * F.col("w")) / F.sum("w")).alias("_bag"))
-        kept = written(share.where(F.greatest("_set", "_bag") >= rules.least).select("n"))
-        entries = written(parted(entries.withColumn("n", F.xxhash64("node")).join(kept, "n", "left_semi").drop("n")))
-        now = entries.count()
-        if now > 0.9 * count:
+        share = written(shingled.join(across, "s", "left").groupBy("n").agg(F.count("_across").alias("common"), F.count(F.lit(1)).alias("size")))
+        sized = entries.withColumn("n", F.xxhash64("node")).join(share, "n")
+        fewest = sized.groupBy("key").agg(F.min("size").alias("fewest"))
+        needed = rules.least / (1 + rules.least) * (F.col("size") + F.greatest("fewest", rules.least * F.col("size")))
+        entries = sized.join(fewest, "key").where(F.col("common") >= needed - 1e-9).select("key", "node", "comp")
+        entries, before = written(parted(entries)), count
+        count = entries.count()
+        if count > 0.9 * before:
             break
-        held, count = entries.select("node", "comp").distinct(), now
     return entries
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size, _k (tells rows apart that share an id), _comp (the class).
 
-    A class is a connected component of links: documents with the same words, or whose shingles
-    have a similarity (of the sets, or probability Jaccard by counts) of ``rules.least`` or more.
+    A class is a connected component of links: documents with the same words, or whose sets of
+    shingles have a Jaccard similarity of ``rules.least`` or more.
     Texts without words are alike only if their bytes are; null is like the empty text. Rows may
     share an id; a null id can be in a class but names it only if all its ids are null. Other
     columns are ignored; an empty table gives an empty result.
