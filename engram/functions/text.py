@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -181,7 +182,11 @@ def propositions(text: Column | str, most: int = 5, words: list[str] | None = No
 def sentiment(text: Column | str, positive: list[str] | None = None, negative: list[str] | None = None) -> Column:
     """(good - bad) / (good + bad) words; 0 without either."""
     words = F.split(F.lower(_col(text)), r"[^\p{L}\p{N}]+")
-    good, bad = (F.size(F.filter(words, lambda w, x=strings(x): F.array_contains(x, w))) for x in (positive or L.POSITIVE_WORDS, negative or L.NEGATIVE_WORDS))
+
+    def count(listed: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: F.array_contains(strings(listed), w)))
+
+    good, bad = count(positive or L.POSITIVE_WORDS), count(negative or L.NEGATIVE_WORDS)
     return F.when(good + bad == 0, F.lit(0.0)).otherwise((good - bad) / (good + bad))
 
 
@@ -229,10 +234,38 @@ def prose(text: Column) -> Column:
     return F.when(F.size(kept) == 0, text).otherwise(F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", ""))
 
 
+def needed_literal(pattern: str) -> str:
+    """The longest plain text that every match of a pattern holds; empty if its form doesn't tell."""
+    best = run = ""
+    depth = at = 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "|" and depth == 0:
+            return ""
+        if depth == 0 and re.match(r"[a-z0-9 :%'-]", c):
+            run += c
+        else:
+            if c in "?*{" and depth == 0:
+                run = run[:-1]
+            best, run = max(best, run, key=len), ""
+            depth += (c == "(") - (c == ")")
+            if c == "\\":
+                at += 1
+            elif c == "[":
+                at = pattern.index("]", at + 2)
+        at += 1
+    return max(best, run, key=len)
+
+
 def marker_score(text: Column, patterns: list[str]) -> Column:
-    """How often the patterns match the lower-cased text."""
+    """How often the patterns match the lower-cased text. A pattern is only tried where its plain text occurs."""
     low = F.lower(text)
-    return reduce(Column.__add__, (F.regexp_count(low, F.lit(f"(?iU){p}")) for p in patterns))
+
+    def count(pattern: str) -> Column:
+        matches, literal = F.regexp_count(low, F.lit(f"(?U){pattern}")), needed_literal(pattern)
+        return F.when(F.contains(low, F.lit(literal)), matches).otherwise(0) if literal else matches
+
+    return reduce(Column.__add__, map(count, patterns))
 
 
 def decision_part(text: Column, part: str) -> Column:

@@ -13,11 +13,17 @@ from engram.operators.chunking import segments
 KINDS = {"Decision": L.DECISION_MARKERS, "Preference": L.PREFERENCE_MARKERS, "Milestone": L.MILESTONE_MARKERS, "Problem": L.PROBLEM_MARKERS, "Emotional": L.EMOTION_MARKERS}
 
 
+def _once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns so that what uses them, filters included, doesn't repeat their expressions."""
+    held = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items()))))
+    return rows.withColumn("_held", held).select(*rows.columns, "_held.*")
+
+
 def with_kind(rows: DataFrame, text: str) -> DataFrame:
     """Adds prose, the score of each kind, memory_type, confidence, sentiment, topic and matrix of a column of segments."""
-    rows = rows.withColumn("prose", prose(F.col(text)))
-    rows = rows.withColumns({f"score_{k.lower()}": marker_score(F.col("prose"), p) for k, p in KINDS.items()})
-    rows = rows.withColumn("sentiment", sentiment("prose"))
+    rows = _once(rows, {"prose": prose(F.col(text))})
+    scores = {f"score_{k.lower()}": marker_score(F.col("prose"), p) for k, p in KINDS.items()}
+    rows = _once(rows, scores | {"sentiment": sentiment("prose")})
     best = F.get(F.array_sort(F.array(*(F.struct((-F.col(f"score_{k.lower()}")).alias("n"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(KINDS)))), F.lit(0))
     bonus = F.when(F.octet_length(text) > 500, 2).when(F.octet_length(text) > 200, 1).otherwise(0)
     solved = F.rlike(F.lower("prose"), F.lit("|".join(f"(?:{p})" for p in L.RESOLUTION_MARKERS)))
