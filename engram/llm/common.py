@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,11 +27,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/engram-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: its lineage is cut and a lost executor costs nothing."""
+def written(df: DataFrame, release: bool = False) -> DataFrame:
+    """``df`` as a table in the shared folder: its lineage is cut and a lost executor costs nothing.
+
+    With ``release`` the files of shuffles that are done with are given back now: Spark deletes them
+    once the driver has collected its garbage, which may be long after.
+    """
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.common import written
@@ -22,7 +23,6 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("comp").alias("_low"))
         lower = label.join(near, label["node"] == near["a"]).select("node", F.col("comp").alias("_was"), F.least("comp", "_low").alias("comp"))
-        lower = written(lower)
         jump = lower.select(F.col("node").alias("_at"), F.col("comp").alias("_to"))
         new = written(lower.join(jump, lower["comp"] == jump["_at"]).select("node", "_was", F.col("_to").alias("comp")))
         label = new.select("node", "comp")
@@ -30,42 +30,65 @@ def connected_components(links: DataFrame) -> DataFrame:
             return label
 
 
+def with_links(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links (a, b): only components that these connect are labelled anew."""
+    if component is None:
+        return connected_components(links)
+    known = [component.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab"]
+    ends = links.join(known[0], "a", "left").join(known[1], "b", "left").select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+    ends = written(ends)
+    new = connected_components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("_new"))
+    nodes = component.unionByName(ends.select(F.col("a").alias("node"), F.col("ca").alias("comp"))).unionByName(ends.select(F.col("b").alias("node"), F.col("cb").alias("comp"))).distinct()
+    return written(nodes.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")))
+
+
 def parted(entries: DataFrame) -> DataFrame:
-    """The entries (key, node, comp) of buckets that hold several components."""
+    """The entries (key, node, comp, ...) of buckets that hold several components."""
     keys = entries.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("key")
     return entries.join(keys, "key", "left_semi")
 
 
-def bucket_components(entries: DataFrame, similar: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+def bucket_entries(nodes: DataFrame, keys: str) -> DataFrame:
+    """(key, node, earlier, rank, sign) for each of a node's keys (an array of longs) that another node has too.
+
+    ``nodes`` are (node, sign, keys). ``earlier`` are a node's keys before; ``rank`` is the lower,
+    the more nodes share its keys.
+    """
+    shared = nodes.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    each = nodes.select("node", "sign", F.col(keys).alias("_keys"), F.posexplode(keys).alias("_at", "key"))
+    each = written(each.join(shared, "key").select("key", "node", "sign", "_n", F.slice("_keys", F.lit(1), F.col("_at")).alias("earlier")))
+    rank = each.groupBy("node").agg((-F.sum("_n")).alias("rank"))
+    return each.join(rank, "node").select("key", "node", "earlier", "rank", "sign")
+
+
+def bucket_components(entries: DataFrame, close: Callable[[Column, Column], Column], similar: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
     """Components (node, comp) of the links among nodes that share a bucket; None without links.
 
-    ``entries`` are (key, node); ``similar`` takes pairs (a, b) and returns those that are links.
-    No bucket is expanded into pairs: in each round some of its members are pivots, which are
-    compared with those in other components and then leave the bucket, until it is one component
-    or empty. So links within what is already connected cost nothing, and none between unconnected
-    nodes of a bucket is left out. From the second round on ``possible`` may drop entries (key,
-    node, comp) of nodes that can't have links to other components of their buckets.
+    ``entries`` come from ``bucket_entries``; ``close`` tells from two signs whether a pair may be a
+    link, and ``similar`` takes such pairs (a, b) and returns those that are. No bucket is expanded
+    into pairs: in each round some of its members are pivots, those of lowest rank first, which are
+    compared with those in other components and then leave the bucket, until it is one component or
+    empty. A pair is only compared in the first bucket that both share. So links within what is
+    already connected cost nothing, no pair is compared twice, and no link between unconnected nodes
+    is left out. Before the second round ``possible`` may drop entries (with their comp) of nodes
+    that can't have links to other components of their buckets.
     """
-    component = links = compared = None
-    choices = 1
-    while True:
+    component, columns = None, entries.columns
+    for round_ in count():
         now = entries if component is None else entries.join(component, "node", "left")
         now = now.withColumn("comp", F.col("node") if component is None else F.coalesce("comp", "node"))
         now = written(parted(now))
-        if compared is not None and possible is not None and not now.isEmpty():
+        if round_ == 1 and possible is not None:
             now = possible(now)
-        chosen = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(choices)).alias("_choice")).agg(F.min(F.struct("node", "comp")).alias("p"))
-        pivots = written(chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")))
+        chosen = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(16**round_)).alias("_choice")).agg(F.min(F.struct("rank", "node", "comp", "earlier", "sign")).alias("p"))
+        pivots = written(chosen.select("key", *(F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("node", "comp", "earlier", "sign"))))
         if pivots.isEmpty():
             return component
-        pairs = now.join(pivots, "key").where("comp <> pivot_comp").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        compared = pairs if compared is None else compared.unionByName(pairs)
+        chosen = pivots.select("key", F.col("pivot_node").alias("node"), F.lit(True).alias("is_pivot"))
+        marked = now.join(chosen, ["key", "node"], "left")
+        once = F.expr("comp <> pivot_comp AND NOT arrays_overlap(earlier, pivot_earlier) AND (is_pivot IS NULL OR node > pivot_node)")
+        pairs = marked.join(pivots, "key").where(once & close(F.col("sign"), F.col("pivot_sign"))).select(F.least("node", "pivot_node").alias("a"), F.greatest("node", "pivot_node").alias("b")).distinct()
         found = written(similar(pairs))
         if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            component = connected_components(links)
-        entries = written(now.join(pivots.withColumnRenamed("pivot", "node"), ["key", "node"], "left_anti").select("key", "node"))
-        choices *= 8
+            component = with_links(component, found)
+        entries = marked.where("is_pivot IS NULL").select(*columns)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.llm.common import row_key, written
-from engram.llm.components import bucket_components, parted
+from engram.llm.components import bucket_components, bucket_entries, parted
 from engram.llm.textblock import TERM, U64, Block, RollingHash, blocks, lowered, mix
 
 _STEP = U64(0xD1B54A32D192ED03)
@@ -34,13 +34,13 @@ class NearRules:
     """Shingles of ``words`` words (a shorter document is one shingle); a link has a similarity of
     ``least`` or more; ``bands`` bands of ``rows`` components: at a similarity of 0.8 a link shares
     no band in 1 of 40 000 cases. Candidates are verified unless more than ``unlike`` of all their
-    components differ, as links do in 1 of 4 million cases."""
+    components differ, as links do in 1 of 30 000 cases."""
 
     words: int = 5
     least: float = 0.8
     bands: int = 20
     rows: int = 4
-    unlike: float = 0.425
+    unlike: float = 0.39
 
 
 def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +167,7 @@ def _possible(entries: DataFrame, texts: DataFrame, rules: NearRules) -> DataFra
 
     A link between n and m shingles takes least / (1 + least) * (n + m) common ones. Common ones are
     those that nodes of other components have too, and m is at least the smallest number in the
-    node's buckets. Leaving some nodes out lowers what others have in common, so this goes on while
-    it helps.
+    node's bucket.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,22 +176,15 @@ def _possible(entries: DataFrame, texts: DataFrame, rules: NearRules) -> DataFra
             own = block.rows.select(["node", "comp"]).take(pa.array(owner))
             yield pa.record_batch([*own.columns, pa.array(value.astype(np.int64))], names=["node", "comp", "s"])
 
-    count = entries.count()
-    while count:
-        held = entries.select("node", "comp").distinct()
-        shingled = texts.join(held, "node").select("node", "comp", "text").mapInArrow(rows, "node binary, comp binary, s long")
-        shingled = shingled.select(F.xxhash64("node").alias("n"), F.xxhash64("comp").alias("c"), "s")
-        across = shingled.groupBy("s").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).where("_c <> _d").select("s", F.lit(1).alias("_across"))
-        share = written(shingled.join(across, "s", "left").groupBy("n").agg(F.count("_across").alias("common"), F.count(F.lit(1)).alias("size")))
-        sized = entries.withColumn("n", F.xxhash64("node")).join(share, "n")
-        fewest = sized.groupBy("key").agg(F.min("size").alias("fewest"))
-        needed = rules.least / (1 + rules.least) * (F.col("size") + F.greatest("fewest", rules.least * F.col("size")))
-        entries = sized.join(fewest, "key").where(F.col("common") >= needed - 1e-9).select("key", "node", "comp")
-        entries, before = written(parted(entries)), count
-        count = entries.count()
-        if count > 0.9 * before:
-            break
-    return entries
+    held = entries.select("node", "comp").distinct()
+    shingled = texts.join(held, "node").select("node", "comp", "text").mapInArrow(rows, "node binary, comp binary, s long")
+    shingled = shingled.select(F.xxhash64("node").alias("n"), F.xxhash64("comp").alias("c"), "s")
+    across = shingled.groupBy("s").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).where("_c <> _d").select("s", F.lit(1).alias("_across"))
+    share = written(shingled.join(across, "s", "left").groupBy("n").agg(F.count("_across").alias("common"), F.count(F.lit(1)).alias("size")))
+    sized = entries.withColumn("n", F.xxhash64("node")).join(share, "n")
+    fewest = sized.groupBy("key").agg(F.min("size").alias("fewest"))
+    needed = rules.least / (1 + rules.least) * (F.col("size") + F.greatest("fewest", rules.least * F.col("size")))
+    return written(parted(sized.join(fewest, "key").where(F.col("common") >= needed - 1e-9).select(*entries.columns)))
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,28 +207,23 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
             yield pa.record_batch([block.rows.column("doc_id"), block.rows.column("_k"), pa.array(digests, pa.binary()), bands, parts, worded], names=["doc_id", "_k", "node", "bands", "parts", "worded"])
 
     made = written(rows.mapInArrow(sketches, f"doc_id {kind}, _k long, node binary, bands array<long>, parts array<long>, worded boolean"))
-    nodes = made.where("worded").groupBy("node").agg(F.min(F.struct("doc_id", "_k")).alias("rep"), F.first("bands").alias("bands"), F.first("parts").alias("parts"))
+    nodes = made.where("worded").groupBy("node").agg(F.min(F.struct("doc_id", "_k")).alias("rep"), F.first("bands").alias("bands"), F.first("parts").alias("sign"))
     nodes = written(nodes)
-    entries = nodes.select("node", "rep", F.explode("bands").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    entries = written(entries.join(shared, "key"))
+    entries = written(bucket_entries(nodes.select("node", "sign", "bands"), "bands"))
 
-    wanted = entries.groupBy("node").agg(F.first("rep").alias("rep")).select("node", F.col("rep.doc_id").alias("_doc"), F.col("rep._k").alias("_row"))
+    wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("_doc"), F.col("rep._k").alias("_row"))
     texts = rows.join(wanted, (rows["_k"] == wanted["_row"]) & rows["doc_id"].eqNullSafe(wanted["_doc"])).select("node", "text")
-    texts = written(texts.dropDuplicates(["node"]))
-    entries = entries.select("key", "node")
-
-    parts = written(nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", "parts"))
+    texts = written(texts.dropDuplicates(["node"]), release=True)
     longs = -(-rules.bands * rules.rows // _PACKED)
 
+    def close(a: Column, b: Column) -> Column:
+        return differing(a, b, longs) <= rules.unlike * rules.bands * rules.rows
+
     def similar(pairs: DataFrame) -> DataFrame:
-        sides = [parts.select(F.col("node").alias(x), F.col("parts").alias(f"_{x}")) for x in "ab"]
-        near = pairs.join(sides[0], "a").join(sides[1], "b").where(differing(F.col("_a"), F.col("_b"), longs) <= rules.unlike * rules.bands * rules.rows)
-        near = written(near.select("a", "b"))
         left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
-        return near.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_similar(rules), "a binary, b binary")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_similar(rules), "a binary, b binary")
 
-    component = bucket_components(entries, similar, lambda now: _possible(now, texts, rules))
+    component = bucket_components(entries, close, similar, lambda now: _possible(now, texts, rules))
     made = made.select("doc_id", "_k", "node")
     placed = made.join(component, "node", "left") if component is not None else made.withColumn("comp", F.col("node"))
     placed = placed.select("doc_id", "_k", F.coalesce("comp", "node").alias("comp"))
