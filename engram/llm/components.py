@@ -54,11 +54,12 @@ def bucket_entries(nodes: DataFrame, keys: str) -> DataFrame:
     ``nodes`` are (node, sign, keys). ``earlier`` are a node's keys before; ``rank`` is the lower,
     the more nodes share its keys.
     """
-    shared = nodes.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    each = nodes.select("node", "sign", F.col(keys).alias("_keys"), F.posexplode(keys).alias("_at", "key"))
-    each = written(each.join(shared, "key").select("key", "node", "sign", "_n", F.slice("_keys", F.lit(1), F.col("_at")).alias("earlier")))
+    each = nodes.select("node", F.posexplode(keys).alias("_at", "key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    each = written(each.join(shared, "key").select("key", "node", "_at", "_n"))
     rank = each.groupBy("node").agg((-F.sum("_n")).alias("rank"))
-    return each.join(rank, "node").select("key", "node", "earlier", "rank", "sign")
+    held = nodes.join(rank, "node").select("node", "sign", F.col(keys).alias("_keys"), "rank")
+    return each.join(held, "node").select("key", "node", F.slice("_keys", F.lit(1), F.col("_at")).alias("earlier"), "rank", "sign")
 
 
 def bucket_components(entries: DataFrame, close: Callable[[Column, Column], Column], similar: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
