@@ -10,12 +10,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
-#: The pre-token pattern of byte-level BPE, as the vocabulary's library applies it.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Blocks whose characters have the same class in every Unicode version in use here.
-SETTLED = "\u0000-՗ऀ-्ก-ฺḀ-ỿ -⁤₠-₹℀-ↄ←-⏧─-⛿　-〿ぁ-ゖァ-ヺ一-龥가-힣！-～\U0001f300-\U0001f320\U0001f600-\U0001f64f"
+#: The pre-token pattern of byte-level BPE, as the vocabulary's library applies it, with
+#: letters and digits as Python's own classes have them, which are the same among SETTLED characters.
+PATTERN = r" ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Characters that have the same class there and in the library, whatever its version of Unicode.
+SETTLED = "\\u0000-\\u001b\\u0020-\\u00b1\\u00b4-\\u00b8\\u00ba\\u00bb\\u00bf-\\u0557\\u1e00-\\u1eff\\u2000-\\u2064\\u20a0-\\u20b9\\u2500-\\u26ff\\u3041-\\u3096\\u30a1-\\u30fa\\u4e00-\\u9fa5\\uac00-\\ud7a3"
 #: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 
 class _Known(dict):
@@ -43,7 +44,6 @@ class Pieces:
 
     def __init__(self, path: str, value=len, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -54,7 +54,7 @@ class Pieces:
         self.plain = self.plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         self.tokenizer = Tokenizer.from_file(path)
         self.value = value
-        self.find = regex.compile(PATTERN).findall
+        self.find = re.compile(PATTERN).findall
         self.odd = re.compile(f"[^{SETTLED}]").search
         self.special = {t["content"]: value([t["id"]]) for t in added}
         self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")").split if added else None
@@ -65,7 +65,7 @@ class Pieces:
 
     def values(self, text: str) -> Iterator:
         """The values of the text's pre-tokens in order; special strings as the library takes them."""
-        if not self.plain or (not text.isascii() and self.odd(text)):
+        if not self.plain or self.odd(text):
             return iter((self.value(self.ids(text)),))
         get = self.known.__getitem__
         if self.cut and any(s in text for s in self.special):
