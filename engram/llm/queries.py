@@ -68,9 +68,9 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
-    from engram.llm.line_dedup import dedup_lines
+    from engram.llm.line_dedup import LineRules, dedup_lines
 
-    out = dedup_lines(table(spark, sf_dir, "documents"))
+    out = dedup_lines(table(spark, sf_dir, "documents"), LineRules(whole=True))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
 
 
