@@ -1,10 +1,10 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A document's shingles, weighted by how often they occur in it, each send a Poisson process of
-arrivals, faster for heavier ones; each arrival falls on a random component, and a component keeps
+A document's shingles each send a Poisson process of arrivals, faster for heavier ones; each arrival falls on a random component, and a component keeps
 the shingle that arrives first. A shingle stops as soon as its next arrival is later than every
 component's first. Two documents agree on a component with the probability Jaccard similarity of
-their weighted shingles; candidates are then verified by the Jaccard similarity of their sets.
+their weighted shingles. A link is a Jaccard similarity of sets, so all weights are 1 here, which makes
+both similarities equal; candidates are then verified by it.
 
 Documents with the same words are one node. Nodes that agree on a band share a bucket; buckets are
 never expanded into pairs (see ``bucket_components``). After the first round, nodes are left out
@@ -131,8 +131,8 @@ def sketch(block: Block, rules: NearRules) -> tuple[list[bytes], np.ndarray, np.
         starts = np.searchsorted(text, np.arange(texts), side="left")
         parts.append(np.where(wordless, mix(hashed + seed), mix(total[ends] - total[starts] + (ends - starts).astype(U64))))
     digests = [row.tobytes() for row in np.stack(parts, axis=1).astype(">u8")]
-    value, weight, owner = shingles(word, text, rules.words)
-    signature = signatures(value, weight, owner, texts, rules.bands * rules.rows)
+    value, _, owner = shingles(word, text, rules.words)
+    signature = signatures(value, np.ones(len(value), np.int64), owner, texts, rules.bands * rules.rows)
     keys = np.zeros((texts, rules.bands), U64)
     for r in range(rules.rows):
         keys = mix(keys * _STEP + signature[:, r :: rules.rows][:, : rules.bands])
