@@ -35,7 +35,7 @@ VIEWS = {
           CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(0.9 AS DOUBLE) FROM {customer}""",
     "rooms": """
         SELECT DISTINCT concat('wing_', CAST(vec_id % 40 AS STRING)) AS wing, concat('room_', CAST((vec_id * 7 + label) % 150 AS STRING)) AS room
-        FROM {embeddings} WHERE vec_id < 160""",
+        FROM {embeddings}""",
     "diary": "SELECT event_id AS id, concat('agent_', CAST(user_id AS STRING)) AS agent, event_type AS content, ts AS entry_ts FROM {events}",
     "access": "SELECT user_id AS id, ts AS at FROM {events}",
     "transcript": "SELECT conv_id, turn, CASE WHEN role = 'user' THEN concat('> ', text) ELSE text END AS line FROM {conversations} WHERE role <> 'system'",
