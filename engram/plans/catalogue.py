@@ -79,7 +79,7 @@ def vec_knn_batch(spark, d):
 @query()
 def vec_knn_cells(spark, d):
     vec = view(spark, d, "vec")
-    return search.knn_cells(vec, vec.where("id % 20 = 0"), 10, cells=16, probes=8)
+    return search.knn_cells(vec, vec.where("id % 20 = 0"), 10, cells=16, probes=12)
 
 
 def _distance(name: str, sql: str):

@@ -9,3 +9,8 @@ D = "/root/testdata/sf0.1"
 def test_rooms_read_the_whole_table(spark):
     rows = view(spark, D, "embeddings").select("vec_id", "label").collect()
     assert view(spark, D, "rooms").count() == len({(r.vec_id % 40, (r.vec_id * 7 + r.label) % 150) for r in rows})
+
+
+def test_cells_find_nine_of_ten_neighbours(spark):
+    found, true = (q(spark, D).select("query_id", "id") for q in (catalogue.vec_knn_cells, catalogue.vec_knn_batch))
+    assert found.intersect(true).count() >= 0.9 * true.count()
