@@ -355,15 +355,15 @@ def diary_stats(spark, d):
 _TOKENS = "greatest(1, round(len(regexp_extract_all({t}, '[^\\s]+')) * 1.3))::BIGINT"
 
 
-@query(f"SELECT doc_id, {_TOKENS.format(t='text')} AS tokens FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {_TOKENS.format(t='text')} AS tokens FROM documents")
 def txt_token_count(spark, d):
-    return view(spark, d, "documents").where("lang = 'en'").select("doc_id", T.count_tokens("text").alias("tokens"))
+    return view(spark, d, "documents").select("doc_id", T.count_tokens("text").alias("tokens"))
 
 
-@query(f"SELECT doc_id, {_TOKENS.format(t='text')} AS original_tokens_est, {_TOKENS.format(t='substr(text, 1, 60)')} AS summary_tokens_est, round({_TOKENS.format(t='text')} / {_TOKENS.format(t='substr(text, 1, 60)')}, 1) AS size_ratio, strlen(text) AS original_chars, strlen(substr(text, 1, 60)) AS summary_chars FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {_TOKENS.format(t='text')} AS original_tokens_est, {_TOKENS.format(t='substr(text, 1, 60)')} AS summary_tokens_est, round({_TOKENS.format(t='text')} / {_TOKENS.format(t='substr(text, 1, 60)')}, 1) AS size_ratio, strlen(text) AS original_chars, strlen(substr(text, 1, 60)) AS summary_chars FROM documents")
 def txt_compression_stats(spark, d):
     stats = T.compression_stats(F.col("text"), F.substring("text", 1, 60))
-    return view(spark, d, "documents").where("lang = 'en'").select("doc_id", stats.alias("s")).select("doc_id", "s.*")
+    return view(spark, d, "documents").select("doc_id", stats.alias("s")).select("doc_id", "s.*")
 
 
 _STOP = "[" + ",".join(f"'{w}'" for w in L.TOPIC_STOP_WORDS) + "]"
@@ -371,9 +371,9 @@ _STOP = "[" + ",".join(f"'{w}'" for w in L.TOPIC_STOP_WORDS) + "]"
 
 @query(f"""SELECT doc_id, list(w ORDER BY n DESC, w)[1:5] AS topics FROM (
     SELECT doc_id, lower(x) AS w, sum(1 + CASE WHEN regexp_matches(x, '^[A-Z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, '[_-]|^.+[A-Z]') THEN 2 ELSE 0 END) AS n
-    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z][a-zA-Z_-]{{2,}}')) AS x FROM documents WHERE lang = 'en' AND length(text) < 3000) WHERE NOT list_contains({_STOP}, lower(x)) GROUP BY ALL) GROUP BY doc_id""")
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z][a-zA-Z_-]{{2,}}')) AS x FROM documents) WHERE NOT list_contains({_STOP}, lower(x)) GROUP BY ALL) GROUP BY doc_id""")
 def txt_topics(spark, d):
-    docs = view(spark, d, "documents").where("lang = 'en' AND length(text) < 3000")
+    docs = view(spark, d, "documents")
     return docs.select("doc_id", T.topics("text", 5).alias("topics")).where("size(topics) > 0")
 
 
@@ -497,7 +497,7 @@ def txt_memory_type(spark, d):
 
 @query()
 def txt_structured_memories(spark, d):
-    docs = view(spark, d, "documents").where("lang = 'en'")
+    docs = view(spark, d, "documents")
     return extract.structured_memories(docs, "doc_id", "text").select("id", "chunk_index", "memory_type", "topic", "sentiment", "confidence")
 
 
@@ -506,19 +506,19 @@ def txt_structured_memories(spark, d):
 
 @query()
 def dia_compress_fields(spark, d):
-    docs = view(spark, d, "documents").where("lang = 'en' AND length(text) < 3000")
+    docs = view(spark, d, "documents")
     return summary.fields(docs, "doc_id", "text").drop("text")
 
 
 @query()
 def dia_summaries(spark, d):
-    mem = view(spark, d, "mem").where("wing = 'en' AND length(text_content) < 3000")
+    mem = view(spark, d, "mem")
     return summary.summarised(mem, "id", "text_content", wing="wing", room="room", source="source_file")
 
 
 @query()
 def dia_propositions(spark, d):
-    return summary.proposition_lines(view(spark, d, "documents").where("lang = 'en' AND length(text) < 3000"), "doc_id", "text")
+    return summary.proposition_lines(view(spark, d, "documents"), "doc_id", "text")
 
 
 _OLD, _NEW = "V:3.2\n0:ABC|alpha_beta_gamma_delta|\"q\"", ["V:3.2\n0:ABC|alpha_beta_gamma_delta|\"q\"", "V:3.2\n0:ABC|alpha_beta_gamma_omega|\"q\"", "V:3.2\n0:ABC|one_two_three_four"]
@@ -531,7 +531,7 @@ def dia_delta(spark, d):
 
 @query()
 def dia_faithfulness(spark, d):
-    docs = view(spark, d, "documents").where("lang = 'en' AND length(text) < 3000")
+    docs = view(spark, d, "documents")
     made = summary.summarised(docs, "doc_id", "text")
     return docs.join(made, docs["doc_id"] == made["id"]).select("doc_id", F.round(summary.coverage(F.col("text"), F.col("summary")), 6).alias("coverage"))
 
