@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import written
+from engram.llm.common import small, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -42,24 +42,30 @@ def with_links(component: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(nodes.join(new, "comp", "left").select("node", F.coalesce("_new", "comp").alias("comp")))
 
 
+#: Of a node's shared keys so many are told to the buckets of its other keys.
+_TOLD = 32
+#: Times as many pivots of a bucket from round to round, at most.
+_PIVOTS = 64
+
+
 def parted(entries: DataFrame) -> DataFrame:
     """The entries (key, node, comp, ...) of buckets that hold several components."""
-    keys = entries.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("key")
-    return entries.join(keys, "key", "left_semi")
+    keys = written(entries.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("key"))
+    return entries.join(small(keys), "key", "left_semi")
 
 
-def bucket_entries(nodes: DataFrame, keys: str) -> DataFrame:
-    """(key, node, earlier, rank, sign) for each of a node's keys (an array of longs) that another node has too.
+def bucket_entries(each: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, node, earlier, rank, sign) for each of ``each`` (node, key: a long) whose key another node has too.
 
-    ``nodes`` are (node, sign, keys). ``earlier`` are a node's keys before; ``rank`` is the lower,
-    the more nodes share its keys.
+    ``nodes`` are (node, sign). ``earlier`` are the node's lowest shared keys below this one, at most
+    as many as are told; ``rank`` is the lower, the more nodes share its keys.
     """
-    each = nodes.select("node", F.posexplode(keys).alias("_at", "key"))
-    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    each = written(each.join(shared, "key").select("key", "node", "_at", "_n"))
-    rank = each.groupBy("node").agg((-F.sum("_n")).alias("rank"))
-    held = nodes.join(rank, "node").select("node", "sign", F.col(keys).alias("_keys"), "rank")
-    return each.join(held, "node").select("key", "node", F.slice("_keys", F.lit(1), F.col("_at")).alias("earlier"), "rank", "sign")
+    shared = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    each = written(each.join(small(shared), "key").select("key", "node", "_n").distinct(), release=True)
+    mine = each.groupBy("node").agg((-F.sum("_n")).alias("rank"), F.slice(F.sort_array(F.collect_set("key")), 1, _TOLD).alias("_told"))
+    held = written(nodes.join(mine, "node").select("node", "sign", "rank", "_told"))
+    entries = each.join(held, "node")
+    return entries.select("key", "node", F.filter("_told", lambda k: k < F.col("key")).alias("earlier"), "rank", "sign")
 
 
 def bucket_components(entries: DataFrame, close: Callable[[Column, Column], Column], similar: Callable[[DataFrame], DataFrame], possible: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
@@ -69,9 +75,9 @@ def bucket_components(entries: DataFrame, close: Callable[[Column, Column], Colu
     link, and ``similar`` takes such pairs (a, b) and returns those that are. No bucket is expanded
     into pairs: in each round some of its members are pivots, those of lowest rank first, which are
     compared with those in other components and then leave the bucket, until it is one component or
-    empty. A pair is only compared in the first bucket that both share. So links within what is
-    already connected cost nothing, no pair is compared twice, and no link between unconnected nodes
-    is left out. Before the second round ``possible`` may drop entries (with their comp) of nodes
+    empty. A pair is left out where an earlier bucket that both share has it. So links within what is
+    already connected cost nothing, hardly a pair is compared twice, and no link between unconnected
+    nodes is left out. Before the second round ``possible`` may drop entries (with their comp) of nodes
     that can't have links to other components of their buckets.
     """
     component, columns = None, entries.columns
@@ -81,14 +87,15 @@ def bucket_components(entries: DataFrame, close: Callable[[Column, Column], Colu
         now = written(parted(now))
         if round_ == 1 and possible is not None:
             now = possible(now)
-        chosen = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(16**round_)).alias("_choice")).agg(F.min(F.struct("rank", "node", "comp", "earlier", "sign")).alias("p"))
+        chosen = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(_PIVOTS ** min(round_, 8))).alias("_choice")).agg(F.min(F.struct("rank", "node", "comp", "earlier", "sign")).alias("p"))
         pivots = written(chosen.select("key", *(F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("node", "comp", "earlier", "sign"))))
         if pivots.isEmpty():
             return component
         chosen = pivots.select("key", F.col("pivot_node").alias("node"), F.lit(True).alias("is_pivot"))
         marked = now.join(chosen, ["key", "node"], "left")
-        once = F.expr("comp <> pivot_comp AND NOT arrays_overlap(earlier, pivot_earlier) AND (is_pivot IS NULL OR node > pivot_node)")
-        pairs = marked.join(pivots, "key").where(once & close(F.col("sign"), F.col("pivot_sign"))).select(F.least("node", "pivot_node").alias("a"), F.greatest("node", "pivot_node").alias("b")).distinct()
+        # the cheaper tests first
+        tried = F.expr("comp <> pivot_comp AND (is_pivot IS NULL OR node > pivot_node)") & close(F.col("sign"), F.col("pivot_sign")) & ~F.expr("arrays_overlap(earlier, pivot_earlier)")
+        pairs = marked.join(pivots, "key").where(tried).select(F.least("node", "pivot_node").alias("a"), F.greatest("node", "pivot_node").alias("b")).distinct()
         found = written(similar(pairs))
         if not found.isEmpty():
             component = with_links(component, found)

@@ -1,10 +1,12 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
-A document's shingles each send a Poisson process of arrivals, faster for heavier ones; each arrival falls on a random component, and a component keeps
+A document's shingles, weighted by how often they occur in it, each send a Poisson process of
+arrivals, faster for heavier ones; each arrival falls on a random component, and a component keeps
 the shingle that arrives first. A shingle stops as soon as its next arrival is later than every
 component's first. Two documents agree on a component with the probability Jaccard similarity of
-their weighted shingles. A link is a Jaccard similarity of sets, so all weights are 1 here, which makes
-both similarities equal; candidates are then verified by it.
+their weighted shingles. Where shingles repeat, a second signature with all weights 1 does the same
+for their sets. Either similarity makes a link, each with bands, a prefilter and an exact
+verification of its own.
 
 Documents with the same words are one node. Nodes that agree on a band share a bucket; buckets are
 never expanded into pairs (see ``bucket_components``). After the first round, nodes are left out
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import row_key, written
+from engram.llm.common import row_key, small, written
 from engram.llm.components import bucket_components, bucket_entries, parted
 from engram.llm.textblock import TERM, U64, Block, RollingHash, blocks, lowered, mix
 
@@ -32,9 +34,10 @@ _STEP = U64(0xD1B54A32D192ED03)
 @dataclass(frozen=True)
 class NearRules:
     """Shingles of ``words`` words (a shorter document is one shingle); a link has a similarity of
-    ``least`` or more; ``bands`` bands of ``rows`` components: at a similarity of 0.8 a link shares
-    no band in 1 of 40 000 cases. Candidates are verified unless more than ``unlike`` of all their
-    components differ, as links do in 1 of 30 000 cases."""
+    ``least`` or more, that of its weighted shingles or that of their sets; ``bands`` bands of
+    ``rows`` components for either: at a similarity of 0.8 a link shares no band in 1 of 40 000
+    cases. Candidates are verified unless more than ``unlike`` of all components of either signature
+    differ, as links of 0.8 do in 1 of 30 000 cases."""
 
     words: int = 5
     least: float = 0.8
@@ -116,8 +119,9 @@ def differing(a: Column, b: Column, longs: int) -> Column:
     return reduce(Column.__add__, unlike)
 
 
-def sketch(block: Block, rules: NearRules) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Of each text, the digest of its words (of its bytes, if it has none), its band keys (texts x bands) and its packed signature."""
+def sketch(block: Block, rules: NearRules) -> tuple[list[bytes], list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Of each text, the digest of its words (of its bytes, if it has none); its band keys and packed
+    signatures by weights and by sets; and whether any of its shingles repeats, so that they differ."""
     word, text = word_hashes(block)
     texts = len(block.lengths)
     place = np.arange(len(word), dtype=np.int64) - np.searchsorted(text, text, side="left")
@@ -131,12 +135,21 @@ def sketch(block: Block, rules: NearRules) -> tuple[list[bytes], np.ndarray, np.
         starts = np.searchsorted(text, np.arange(texts), side="left")
         parts.append(np.where(wordless, mix(hashed + seed), mix(total[ends] - total[starts] + (ends - starts).astype(U64))))
     digests = [row.tobytes() for row in np.stack(parts, axis=1).astype(">u8")]
-    value, _, owner = shingles(word, text, rules.words)
-    signature = signatures(value, np.ones(len(value), np.int64), owner, texts, rules.bands * rules.rows)
-    keys = np.zeros((texts, rules.bands), U64)
-    for r in range(rules.rows):
-        keys = mix(keys * _STEP + signature[:, r :: rules.rows][:, : rules.bands])
-    return digests, mix(keys + np.arange(1, rules.bands + 1, dtype=U64)[None, :] * _STEP), packed(signature)
+    value, times, owner = shingles(word, text, rules.words)
+    repeats = np.zeros(texts, bool)
+    repeats[owner[times > 1]] = True
+    by_set = signatures(value, np.ones(len(value), np.int64), owner, texts, rules.bands * rules.rows)
+    by_weight, here = by_set.copy(), np.flatnonzero(repeats[owner])
+    if len(here):
+        again = np.cumsum(repeats) - 1
+        by_weight[repeats] = signatures(value[here], times[here], again[owner[here]], int(repeats.sum()), rules.bands * rules.rows)
+    keys = []
+    for signature in (by_weight, by_set):
+        key = np.zeros((texts, rules.bands), U64)
+        for r in range(rules.rows):
+            key = mix(key * _STEP + signature[:, r :: rules.rows][:, : rules.bands])
+        keys.append(mix(key + np.arange(1, rules.bands + 1, dtype=U64)[None, :] * _STEP))
+    return digests, keys, [packed(by_weight), packed(by_set)], repeats
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -145,6 +158,33 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def probability_jaccard(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> float:
+    """Probability Jaccard similarity of shingles a and b with weights na and nb.
+
+    It adds, over common shingles d, 1 / sum over all j of max(na[j] / na[d], nb[j] / nb[d]); the
+    left one is larger from where the ratio of both weights is that of d upwards, so sums along the
+    order of ratios give all of them at once.
+    """
+    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if not len(ia):
+        return 0.0
+    x, y = na[ia].astype(float), nb[ib].astype(float)
+    order = np.argsort(x / y, kind="stable")
+    x, y = x[order], y[order]
+    ratio = x / y
+    upwards = np.cumsum(x[::-1])[::-1] + (na.sum() - x.sum())
+    before = np.concatenate([[0.0], np.cumsum(y)])[:-1] + (nb.sum() - y.sum())
+    first = np.searchsorted(ratio, ratio, side="left")
+    return float((1 / (upwards[first] / x + before[first] / y)).sum())
+
+
+def linked(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, least: float) -> bool:
+    """Whether either similarity is ``least`` or more; without repeats they are the same."""
+    if similarity(a, b) >= least:
+        return True
+    return (na.sum() > len(a) or nb.sum() > len(b)) and probability_jaccard(a, na, b, nb) >= least
+
+
 def _similar(rules: NearRules):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,10 +193,10 @@ def _similar(rules: NearRules):
                 sides = []
                 for name in ("ta", "tb"):
                     block = side_a if name == "ta" else next(blocks([rows], name, 1 << 40))
-                    value, _, owner = shingles(*word_hashes(block), rules.words)
-                    sides.append((value, np.searchsorted(owner, np.arange(len(rows) + 1))))
-                (va, ca), (vb, cb) = sides
-                alike = [similarity(va[ca[i] : ca[i + 1]], vb[cb[i] : cb[i + 1]]) >= rules.least for i in range(len(rows))]
+                    value, times, owner = shingles(*word_hashes(block), rules.words)
+                    at = np.searchsorted(owner, np.arange(len(rows) + 1))
+                    sides.append([(value[i:j], times[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)])
+                alike = [linked(*a, *b, rules.least) for a, b in zip(*sides, strict=True)]
                 yield rows.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     return compare
@@ -165,51 +205,59 @@ def _similar(rules: NearRules):
 def _possible(entries: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
     """Without nodes that can't have a link to another component of their buckets.
 
-    A link between n and m shingles takes least / (1 + least) * (n + m) common ones. Common ones are
-    those that nodes of other components have too, and m is at least the smallest number in the
-    node's bucket.
+    A link by sets between n and m shingles takes least / (1 + least) * (n + m) common ones. Common
+    ones are those that nodes of other components have too, and m is at least the smallest number in
+    the node's bucket. Probability Jaccard is at most 1 less the distance in variation of the weights
+    over their sums, so in a link by weights common ones have ``least`` of the node's weight.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
-            value, _, owner = shingles(*word_hashes(block), rules.words)
+            value, times, owner = shingles(*word_hashes(block), rules.words)
             own = block.rows.select(["node", "comp"]).take(pa.array(owner))
-            yield pa.record_batch([*own.columns, pa.array(value.astype(np.int64))], names=["node", "comp", "s"])
+            yield pa.record_batch([*own.columns, pa.array(value.astype(np.int64)), pa.array(times)], names=["node", "comp", "s", "times"])
 
     held = entries.select("node", "comp").distinct()
-    shingled = texts.join(held, "node").select("node", "comp", "text").mapInArrow(rows, "node binary, comp binary, s long")
-    shingled = shingled.select(F.xxhash64("node").alias("n"), F.xxhash64("comp").alias("c"), "s")
+    shingled = texts.join(held, "node").select("node", "comp", "text").mapInArrow(rows, "node binary, comp binary, s long, times long")
+    shingled = shingled.select(F.xxhash64("node").alias("n"), F.xxhash64("comp").alias("c"), "s", "times")
     across = shingled.groupBy("s").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).where("_c <> _d").select("s", F.lit(1).alias("_across"))
-    share = written(shingled.join(across, "s", "left").groupBy("n").agg(F.count("_across").alias("common"), F.count(F.lit(1)).alias("size")))
+    share = written(shingled.join(across, "s", "left").groupBy("n").agg(F.count("_across").alias("common"), F.count(F.lit(1)).alias("size"), F.sum(F.col("_across") * F.col("times")).alias("held"), F.sum("times").alias("weight")))
     sized = entries.withColumn("n", F.xxhash64("node")).join(share, "n")
     fewest = sized.groupBy("key").agg(F.min("size").alias("fewest"))
     needed = rules.least / (1 + rules.least) * (F.col("size") + F.greatest("fewest", rules.least * F.col("size")))
-    return written(parted(sized.join(fewest, "key").where(F.col("common") >= needed - 1e-9).select(*entries.columns)))
+    may = (F.col("common") >= needed - 1e-9) | (F.col("held") >= rules.least * F.col("weight") - 1e-9)
+    return written(parted(sized.join(small(written(fewest)), "key").where(may).select(*entries.columns)))
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest doc_id of its class), class_size, _k (tells rows apart that share an id), _comp (the class).
 
-    A class is a connected component of links: documents with the same words, or whose sets of
-    shingles have a Jaccard similarity of ``rules.least`` or more.
-    Texts without words are alike only if their bytes are; null is like the empty text. Rows may
-    share an id; a null id can be in a class but names it only if all its ids are null. Other
-    columns are ignored; an empty table gives an empty result.
+    A class is a connected component of links: documents with the same words, or whose shingles have
+    a similarity of ``rules.least`` or more, by probability Jaccard of their numbers of occurrences
+    or by Jaccard of their sets. Texts without words are alike only if their bytes are; null is like
+    the empty text. Rows may share an id; a null id can be in a class but names it only if all its
+    ids are null. Other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("_k", row_key("doc_id", "text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, limit=2 << 20):
-            digests, keys, parts = sketch(block, rules)
-            bands, parts = (pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.astype(np.int64).ravel())) for x in (keys, parts))
+            digests, keys, parts, repeats = sketch(block, rules)
+            lists = []
+            for by_weight, by_set in (keys, parts):
+                flat = np.concatenate([by_weight, by_set], axis=1)
+                taken = np.ones(flat.shape, bool)
+                taken[:, by_weight.shape[1] :] = repeats[:, None]
+                offsets = np.concatenate([[0], np.cumsum(taken.sum(axis=1))]).astype(np.int32)
+                lists.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat[taken].astype(np.int64))))
             worded = pa.array(np.bincount(word_hashes(block)[1], minlength=len(digests)) > 0)
-            yield pa.record_batch([block.rows.column("doc_id"), block.rows.column("_k"), pa.array(digests, pa.binary()), bands, parts, worded], names=["doc_id", "_k", "node", "bands", "parts", "worded"])
+            yield pa.record_batch([block.rows.column("doc_id"), block.rows.column("_k"), pa.array(digests, pa.binary()), *lists, worded], names=["doc_id", "_k", "node", "bands", "parts", "worded"])
 
     made = written(rows.mapInArrow(sketches, f"doc_id {kind}, _k long, node binary, bands array<long>, parts array<long>, worded boolean"))
     nodes = made.where("worded").groupBy("node").agg(F.min(F.struct("doc_id", "_k")).alias("rep"), F.first("bands").alias("bands"), F.first("parts").alias("sign"))
-    nodes = written(nodes)
-    entries = written(bucket_entries(nodes.select("node", "sign", "bands"), "bands"))
+    nodes = written(nodes, release=True)
+    entries = written(bucket_entries(nodes.select("node", F.explode(F.array_distinct("bands")).alias("key")), nodes.select("node", "sign")), release=True)
 
     wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("_doc"), F.col("rep._k").alias("_row"))
     texts = rows.join(wanted, (rows["_k"] == wanted["_row"]) & rows["doc_id"].eqNullSafe(wanted["_doc"])).select("node", "text")
@@ -217,7 +265,10 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
     longs = -(-rules.bands * rules.rows // _PACKED)
 
     def close(a: Column, b: Column) -> Column:
-        return differing(a, b, longs) <= rules.unlike * rules.bands * rules.rows
+        most = rules.unlike * rules.bands * rules.rows
+        sets = [F.when(F.size(x) > longs, F.slice(x, longs + 1, longs)).otherwise(x) for x in (a, b)]
+        repeats = (F.size(a) > longs) | (F.size(b) > longs)
+        return (differing(a, b, longs) <= most) | (repeats & (differing(*sets, longs) <= most))
 
     def similar(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
@@ -225,24 +276,34 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
 
     component = bucket_components(entries, close, similar, lambda now: _possible(now, texts, rules))
     made = made.select("doc_id", "_k", "node")
-    placed = made.join(component, "node", "left") if component is not None else made.withColumn("comp", F.col("node"))
-    placed = placed.select("doc_id", "_k", F.coalesce("comp", "node").alias("comp"))
-    named = placed.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(named, "comp").select("doc_id", "class_id", "class_size", "_k", F.col("comp").alias("_comp"))
+    named = made.groupBy("node").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    if component is None:
+        named = named.withColumn("_comp", F.col("node"))
+    else:
+        placed = written(named.join(component, "node", "left"))
+        of_comp = written(placed.where("comp IS NOT NULL").groupBy("comp").agg(F.min("class_id").alias("class_id"), F.sum("class_size").alias("class_size")))
+        connected = placed.select("node", "comp").join(small(of_comp), "comp").select("node", "class_id", "class_size", F.col("comp").alias("_comp"))
+        named = placed.where("comp IS NULL").select("node", "class_id", "class_size", F.col("node").alias("_comp")).unionByName(connected)
+    # rows of a hot node are split by the join's planner, as both of its sides are written tables
+    return made.join(written(named), "node").select("doc_id", "class_id", "class_size", "_k", "_comp")
 
 
 def keep_one(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class the row with the smallest id (then text hash), once."""
-    classes = written(near_duplicates(docs, rules, id_col, text_col).select("doc_id", "_k", "_comp"))
-    named = classes.groupBy("_comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "_k")).alias("_first"))
-    times = classes.groupBy("_comp", "doc_id", "_k").agg(F.count(F.lit(1)).alias("_times"))
-    chosen = named.select("_comp", F.col("_first.doc_id").alias("_doc"), F.col("_first._k").alias("_row"))
-    same = (times["_comp"] == chosen["_comp"]) & (times["_k"] == chosen["_row"]) & times["doc_id"].eqNullSafe(chosen["_doc"])
-    chosen = written(chosen.join(times, same).select("_doc", "_row", "_times"))
-    keyed = docs.withColumn("_engram_key", row_key(id_col, text_col))
-    on = (keyed["_engram_key"] == chosen["_row"]) & keyed[id_col].eqNullSafe(chosen["_doc"])
-    kept = keyed.join(chosen, on).select(*keyed.columns, "_times")
-    if not chosen.where("_times > 1").isEmpty():
-        once, more = kept.where("_times = 1"), kept.where("_times > 1")
-        kept = once.unionByName(more.dropDuplicates(["_engram_key", id_col]))
-    return kept.select(*docs.columns)
+    """The rows of ``docs`` without near duplicates: of each class the row with the smallest id (then text hash), once.
+
+    Columns may have any names.
+    """
+    names = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    ident, text = (f"c{names.index(c)}" for c in (id_col, text_col))
+    classes = written(near_duplicates(plain, rules, ident, text).select("doc_id", "_k", "_comp"))
+    chosen = classes.groupBy("_comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k")).alias("_first"))
+    chosen = written(chosen.select(F.col("_first.doc_id").alias("_doc"), F.col("_first._k").alias("_row")))
+    keyed = plain.withColumn("_key", row_key(ident, text))
+    kept = keyed.join(chosen, (keyed["_key"] == chosen["_row"]) & keyed[ident].eqNullSafe(chosen["_doc"])).drop("_doc", "_row")
+    times = classes.groupBy("doc_id", "_k").agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select(F.col("doc_id").alias("_doc"), F.col("_k").alias("_row"))
+    times = written(times)
+    if not times.isEmpty():
+        on = (kept["_key"] == times["_row"]) & kept[ident].eqNullSafe(times["_doc"])
+        kept = kept.join(times, on, "left_anti").unionByName(kept.join(times, on, "left_semi").dropDuplicates(["_key", ident]))
+    return kept.drop("_key").toDF(*names)

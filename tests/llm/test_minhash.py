@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 
 from engram.llm.components import connected_components
-from engram.llm.minhash import NearRules, near_duplicates, signatures, similarity
+from engram.llm.minhash import NearRules, keep_one, near_duplicates, probability_jaccard, signatures, similarity
 from tests.llm.helpers import docs_of, sample_texts, stored, terms
 
 
@@ -18,6 +18,19 @@ def alike(x, y):
     return both / max(1, len(x) + len(y) - both)
 
 
+def weighted(x, y):
+    """Probability Jaccard by its definition; 0 where shared weights already rule out 0.8."""
+    if sum(min(x[d] / x.total(), y[d] / y.total()) for d in x.keys() & y.keys()) < 0.79:
+        return 0
+    every = sorted(x.keys() | y.keys(), key=str)
+    nx, ny = (np.array([c[d] for d in every], float) for c in (x, y))
+    return sum(1 / np.maximum(nx / nx[k], ny / ny[k]).sum() for k in np.flatnonzero((nx > 0) & (ny > 0)))
+
+
+def link(x, y):
+    return alike(x, y) >= 0.8 or max([*x.values(), *y.values()]) > 1 and weighted(x, y) >= 0.8
+
+
 def brute_classes(rows):
     parent = list(range(len(rows)))
 
@@ -37,7 +50,7 @@ def brute_classes(rows):
             for j in group:
                 if i < j and (i, j) not in seen:
                     seen.add((i, j))
-                    if not bags[i] or alike(bags[i], bags[j]) >= 0.8:
+                    if root(i) != root(j) and (not bags[i] or link(bags[i], bags[j])):
                         parent[root(i)] = root(j)
     classes = defaultdict(list)
     for i in range(len(rows)):
@@ -79,6 +92,15 @@ def test_similarity_is_the_brute_one():
         assert abs(similarity(*(np.array(sorted(c), np.uint64) for c in (x, y))) - alike(x, y)) < 1e-12
 
 
+def test_probability_jaccard_is_the_brute_one():
+    rng = random.Random(14)
+    for _ in range(300):
+        x, y = (Counter(rng.choices(range(9), k=rng.randint(1, 25))) for _ in range(2))
+        want = sum(1 / sum(max(x[j] / x[d], y[j] / y[d]) for j in x.keys() | y.keys()) for d in x.keys() & y.keys())
+        sides = [z for c in (x, y) for z in (np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)]))]
+        assert abs(probability_jaccard(*sides) - want) < 1e-9
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = random.Random(6)
     errors = []
@@ -125,3 +147,19 @@ def test_components(spark):
         x, y = sorted((root(a), root(b)))
         parent[y] = x
     assert got == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in links)}
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", 1, 2, "x", 3.0), (2, "A b c d e, f", 3, None, "y", 1.0), (2, "A b c d e, f", 3, None, "y", 1.0), (0, "a b c d e f g", 0, 0, None, 0.0), (0, "a b c d e f g", 0, 0, None, 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _times int, _doc int, _engram_key string, `a.b` double")
+    out = keep_one(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [rows[3], rows[0]]
+
+
+def test_rows_kept_are_the_first_of_their_classes(spark):
+    texts = [*sample_texts(), *sample_texts()]
+    docs = docs_of(spark, texts)
+    want = brute_classes(list(enumerate(texts)))
+    assert sorted(r.doc_id for r in keep_one(docs).collect()) == sorted(want)
+    assert keep_one(docs.limit(0)).count() == 0
