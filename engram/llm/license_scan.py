@@ -3,7 +3,8 @@
 The words of all templates make one generalised suffix automaton. A document's words are streamed
 through it and give, at each word, the longest match that ends there; matches that can't be
 extended and are long enough are chained along a template, and a chain that covers enough of the
-template labels the document. Words outside the templates' vocabulary can't be matched, so only
+template labels the document. Of the chains that a match can belong to, the one that covers most is
+found by dynamic programming; a word of the document covers one word of the template in it. Words outside the templates' vocabulary can't be matched, so only
 runs of vocabulary words are streamed.
 """
 
@@ -11,11 +12,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from engram.llm.textblock import TERM, Block, RollingHash, blocks, lowered, runs
 
@@ -26,9 +28,12 @@ PHRASES = {
     "all rights reserved": "reserved",
 }
 
-# Sentences of well-known licences and notices, by label.
+# Sentences of well-known licences and notices, and whole licences, by label.
 TEMPLATES = {
     "mit": [
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
     ],
@@ -38,6 +43,11 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
     "bsd": [
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     ],
@@ -45,6 +55,17 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
+    "isc": [
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ],
+    "zlib": [
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+        2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+        3. This notice may not be removed or altered from any source distribution.""",
+    ],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "cc-by": [
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -57,8 +78,8 @@ TEMPLATES = {
 
 @dataclass(frozen=True)
 class LicenseRules:
-    """``min_match`` words make a match; matches of one chain lie within ``max_gap`` words; a chain
-    that covers ``min_cover`` of a template is a find."""
+    """``min_match`` words make a match; in a chain a match starts at most ``max_gap`` words after the
+    one before ends, in the document; a chain that covers ``min_cover`` of a template is a find."""
 
     min_match: int = 4
     max_gap: int = 8
@@ -67,6 +88,23 @@ class LicenseRules:
     templates: dict[str, list[str]] = field(default_factory=lambda: TEMPLATES)
 
 
+def rules_from(templates: DataFrame, rules: LicenseRules = LicenseRules(), most_words: int = 200_000, label_col: str = "label", text_col: str = "text") -> LicenseRules:
+    """Rules with the templates of a table (label, text), such as whole licences.
+
+    Each worker keeps an automaton of all of them, so they are collected, and a table of more than
+    ``most_words`` words is refused. Rows with a null label or without words are left out.
+    """
+    held = templates.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).where("label IS NOT NULL AND text IS NOT NULL").distinct()
+    words = held.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
+    if words > most_words:
+        raise ValueError(f"the templates have {words} words, more than {most_words}")
+    found: dict[str, list[str]] = {}
+    for row in held.orderBy("label", "text").collect():
+        if words_of(row.text):
+            found.setdefault(row.label, []).append(row.text)
+    return replace(rules, templates=found)
+
+
 def words_of(text: str) -> list[str]:
     """The words of a text: A-Z in lower case; runs of ASCII letters and digits and of all beyond ASCII."""
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]+", lambda m: m[0].lower(), text))
@@ -202,22 +240,46 @@ class Scanner:
         return {"n_words": n_words, "n_base": n_base, "first_word": low, "last_word": high, "base": base, "spans": spans, "score": score}
 
     def _chains(self, matches: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, float]]:
-        """Template, first word, end and covered fraction of the chains along each template."""
-        open_: dict[int, list[int]] = {}
+        """Template, first word, end and covered fraction of the best chains along each template.
+
+        ``matches`` (end, length, state) ascend by end. A step from one match of a chain to the next
+        leads onwards in the document and in the template and covers what is new in both. For each
+        template the chains that cover most are taken first, and others only where they share no
+        match with one that was taken.
+        """
+        steps: dict[int, list[tuple[int, int, int, int]]] = {}  # by template: end, length, last word in it
         for end, length, state in matches:
-            start = end - length
-            for template, last in sorted(self.automaton.ends[state]):
-                chain = open_.get(template)
-                at = last + 1 - length
-                if chain and start - chain[1] <= self.rules.max_gap and last >= chain[2]:
-                    fresh = last + 1 - max(at, chain[2])
-                    open_[template] = [chain[0], end, last + 1, chain[3] + fresh]
+            for template, last in self.automaton.ends[state]:
+                steps.setdefault(template, []).append((end, length, last))
+        for template, places in sorted(steps.items()):
+            places.sort()
+            covers, before, near = [], [], 0
+            # a later match can start before one that ends earlier, by its length at most
+            longest = max(length for _, length, _ in places)
+            for k, (end, length, last) in enumerate(places):
+                best, via = length, -1
+                while places[near][0] + self.rules.max_gap + longest < end:
+                    near += 1
+                for j in range(near, k):
+                    was_end, _, was_last = places[j]
+                    if was_end < end and was_last < last and end - length - was_end <= self.rules.max_gap:
+                        fresh = min(length, end - was_end, last - was_last)
+                        if covers[j] + fresh > best:
+                            best, via = covers[j] + fresh, j
+                covers.append(best)
+                before.append(via)
+            taken = set()
+            for k in sorted(range(len(places)), key=lambda k: (-covers[k], k)):
+                chain, at = [], k
+                while at >= 0:
+                    chain.append(at)
+                    at = before[at]
+                used = {places[j][0] for j in chain}
+                if used & taken:
                     continue
-                if chain:
-                    yield template, chain[0], chain[1], chain[3] / self.sizes[template]
-                open_[template] = [start, end, last + 1, length]
-        for template, chain in open_.items():
-            yield template, chain[0], chain[1], chain[3] / self.sizes[template]
+                taken |= used
+                first = places[chain[-1]]
+                yield template, first[0] - first[1], places[k][0], covers[k] / self.sizes[template]
 
 
 def scan_licenses(docs: DataFrame, rules: LicenseRules | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +304,7 @@ def scan_licenses(docs: DataFrame, rules: LicenseRules | None = None, id_col: st
             labels = [sorted(b | {x[0] for x in f}) for b, f in zip(s["base"], s["spans"], strict=True)]
             finds = [[dict(zip(("label", "start", "end", "cover"), x, strict=True)) for x in sorted(f, key=lambda x: (x[1], x[0], x[2]))] for f in s["spans"]]
             cols = [block.rows.column(0), *(pa.array(s[c], pa.int64()) for c in ("n_words", "n_base")), *(pa.array(s[c], pa.int64(), mask=none) for c in ("first_word", "last_word"))]
-            cols += [pa.array([",".join(sorted(b)) for b in s["base"]]), pa.array([",".join(x) for x in labels]), pa.array(np.minimum(s["score"], 1.0)), pa.array(finds, span)]
+            cols += [pa.array([",".join(sorted(b)) for b in s["base"]]), pa.array([",".join(x) for x in labels]), pa.array(s["score"]), pa.array(finds, span)]
             yield pa.record_batch(cols, names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
     return rows.mapInArrow(

@@ -1,6 +1,6 @@
 import random
 
-from engram.llm.license_scan import PHRASES, TEMPLATES, LicenseRules, Scanner, SuffixAutomaton, scan_licenses, words_of
+from engram.llm.license_scan import PHRASES, TEMPLATES, LicenseRules, Scanner, SuffixAutomaton, rules_from, scan_licenses, words_of
 from tests.llm.helpers import docs_of, sample_texts, stored, terms
 
 
@@ -30,7 +30,7 @@ def test_whole_templates_are_found(spark):
 
 
 def test_edited_template_is_chained(spark):
-    words = TEMPLATES["mit"][1].split()
+    words = TEMPLATES["mit"][2].split()
     words[14:16] = ["some", "other", "inserted"]
     r = scan_licenses(docs_of(spark, [" ".join(words), "of the and the of and is a"])).orderBy("doc_id").collect()
     assert r[0].labels == "mit" and 0.6 < r[0].score < 1
@@ -57,3 +57,50 @@ def test_empty_table_and_other_rules(spark):
     rules = LicenseRules(min_match=2, templates={"own": ["alpha beta gamma"]}, phrases={})
     assert scan_licenses(docs_of(spark, ["x alpha beta y"]), rules).first().labels == "own"
     assert Scanner(rules).sizes == [3]
+
+
+def brute_cover(words, template, rules):
+    """The most words of the template that any chain of matches covers, over all chains."""
+    n = len(words)
+    stands = lambda e, k, at: words[e - k : e] == template[at : at + k]
+    best = {e: max(k for k in range(e + 1) if any(stands(e, k, at) for at in range(len(template) - k + 1))) for e in range(1, n + 1)}
+    ends = [(e, best[e]) for e in range(1, n + 1) if best[e] >= rules.min_match and (e == n or best[e + 1] != best[e] + 1)]
+    places = [(e, k, at + k - 1) for e, k in ends for at in range(len(template) - k + 1) if stands(e, k, at)]
+
+    def onwards(place, covered):
+        end, _, last = place
+        return max([covered, *(onwards((e, k, l), covered + min(k, e - end, l - last)) for e, k, l in places if e > end and l > last and e - k - end <= rules.max_gap)])
+
+    return max([0, *(onwards(p, p[1]) for p in places)])
+
+
+def test_scores_equal_all_chains(spark):
+    rng = random.Random(8)
+    for _ in range(12):
+        template = " ".join(rng.choice("abcde") for _ in range(rng.randint(5, 14)))
+        rules = LicenseRules(min_match=2, max_gap=3, min_cover=0.6, templates={"own": [template]}, phrases={})
+        texts = [" ".join(rng.choice("abcdexy") for _ in range(rng.randint(3, 18))) for _ in range(25)] + [template, template + " x " + template]
+        for r in scan_licenses(docs_of(spark, texts), rules).collect():
+            cover = brute_cover(texts[r.doc_id].split(), template.split(), rules) / len(template.split())
+            assert abs(r.score - cover) < 1e-12, (template, texts[r.doc_id])
+            assert r.labels == ("own" if cover >= 0.6 else "") and bool(r.spans) == (cover >= 0.6)
+            for s in r.spans:
+                assert 0 <= s.start < s.end <= r.n_words and 0.6 <= s.cover <= cover
+
+
+def test_a_piece_counts_once(spark):
+    rules = LicenseRules(templates={"own": ["alpha beta gamma delta one alpha beta gamma delta"]}, phrases={})
+    rows = sorted(scan_licenses(docs_of(spark, ["x alpha beta gamma delta y", "alpha beta gamma delta or alpha beta gamma delta"]), rules).collect())
+    assert [round(r.score, 3) for r in rows] == [0.444, 0.889]
+    assert [r.labels for r in rows] == ["", "own"]
+
+
+def test_templates_of_a_table(spark):
+    table = spark.createDataFrame([("own", "one two three four five six"), ("own", None), (None, "x"), ("none", " . ")], "label string, text string")
+    r = scan_licenses(docs_of(spark, ["zero one two three four five six seven " * 3]), rules_from(table)).first()
+    assert r.labels == "own" and r.score == 1.0 and [(s.start, s.end) for s in r.spans] == [(1, 7), (9, 15), (17, 23)]
+    try:
+        rules_from(table, most_words=3)
+    except ValueError:
+        return
+    raise AssertionError("too large a table was taken")
