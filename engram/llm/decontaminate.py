@@ -1,12 +1,12 @@
 """Benchmark decontamination by a prefix-filtered set join, with DataFrame functions only.
 
 A window is ``window`` consecutive words of an item, or the whole of a shorter item. Its set is that
-of its shingles (``shingle`` consecutive words; fewer where the item has fewer). A document can hold
-a window only if it holds the window's rarest shingle, so only that one, the prefix that containment
-of 1 needs, is joined to find candidates; a candidate's window must fit into the document (length
-and position). The shingles of a candidate's alignment (document, item, offset between them) are then
-laid out by position, and a window stands in the document where all of them follow one another:
-equal shingles one after another are equal words.
+of its shingles (``shingle`` consecutive words; fewer where the item has fewer). One pass over the
+documents counts how often they have each shingle of a window; that orders shingles by rarity. A
+document can hold a window only if it holds the window's rarest shingle, the prefix that containment
+of 1 needs, so only prefixes are joined with the documents, and a window has to fit into the document
+around its prefix (length and position). What is left are candidates: places of a document where a
+window may stand. There the document's words are compared with the window's.
 """
 
 from __future__ import annotations
@@ -27,73 +27,60 @@ def words(text: Column) -> Column:
 
 
 def _shingles(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
-    """A row for each place where n words of the array column ``w`` follow one another: keep, pos, s (struct of words)."""
-    size = F.size("w")
-    parts = [F.slice("w", k + 1, F.greatest(size - (n - 1), F.lit(0))).alias(f"w{k}") for k in range(n)]
-    return df.select(*keep, F.posexplode(F.arrays_zip(*parts)).alias("pos", "s"))
+    """A row for each place where n words of the array column ``w`` follow one another: keep, pos, id (a hash of n and the words)."""
+    # an explode of one element keeps an expression from being evaluated for each of its uses
+    hashed = df.where(F.size("w") >= n).select(*keep, F.explode(F.array(F.transform("w", lambda x: F.xxhash64(x)))).alias("h"))
+    ids = F.expr(f"transform(sequence(0, size(h) - {n}), i -> xxhash64({n}, {', '.join(f'h[i + {k}]' for k in range(n))}))")
+    return hashed.select(*keep, F.posexplode(ids).alias("pos", "id"))
+
+
+def _of_sizes(df: DataFrame, sizes: list[int], keep: list[str], own: bool) -> DataFrame:
+    """The shingles of all sizes; with ``own``, of each row those of its column ``m`` only."""
+    out = None
+    for n in sizes:
+        part = _shingles(df.where(F.col("m") == n) if own else df, n, keep)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Occurrences of windows in documents: doc_id, _k (tells rows apart), item_id, first, last (word positions of a run of windows).
+    """Occurrences of windows in documents: doc_id, _k (tells rows apart), item_id, first, last (word positions).
 
-    Items that share an id count as one. Items without words have no windows.
+    Items that share an id count as one. Items without words have no windows. A window that several
+    items have is looked for once.
     """
-    items = written(
-        benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("w"))
-        .distinct()
-        .where(F.size("w") > 0)
-        .select("item_id", F.xxhash64("item_id", "w").alias("item"), F.size("w").alias("n"), "w")
-    )
-    sizes = sorted(r.s for r in items.select(F.least("n", F.lit(shingle)).alias("s")).distinct().collect())
-    kind = "array<string>"
-    parts = [_shingles(items.where(F.least("n", F.lit(shingle)) == s), s, ["item_id", "item", "n"]).withColumn("s", F.array(*(F.col("s")[f"w{k}"] for k in range(s))).cast(kind)) for s in sizes]
-    found = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("_k"), words(F.col(text_col)).alias("w")).withColumn("n_words", F.size("w"))
-    if not parts:
-        return found.select("doc_id", "_k", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), F.lit(0).alias("first"), F.lit(0).alias("last")).where(F.lit(False))
-    of_items = parts[0]
-    for part in parts[1:]:
-        of_items = of_items.unionByName(part)
-    of_items = written(of_items.withColumn("id", F.xxhash64("s")))
-
-    # every shingle of a document that some item has too: exact, by its words
-    wanted = small(written(of_items.select("id", "s").distinct()))
-    hits = None
-    for s in sizes:
-        here = _shingles(found, s, ["doc_id", "_k", "n_words"]).withColumn("_words", F.array(*(F.col("s")[f"w{k}"] for k in range(s))))
-        here = here.select("doc_id", "_k", "n_words", "pos", F.col("s").alias("_s"), F.xxhash64("_words").alias("_id"))
-        on = (here["_id"] == wanted["id"]) & (F.size(wanted["s"]) == s)
-        for k in range(s):
-            on = on & (here["_s"][f"w{k}"] == F.get(wanted["s"], F.lit(k)))
-        part = here.join(wanted, on).select("doc_id", "_k", "n_words", "pos", "id", F.lit(s).alias("size"))
-        hits = part if hits is None else hits.unionByName(part)
-    hits = written(hits)
-
-    # the rarest shingle of each window; a window with one that no document has can't occur
-    counts = hits.groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
-    ranked = of_items.join(small(written(counts)), "id", "left")
-    length = F.least("n", F.lit(window))
-    last = length - F.least("n", F.lit(shingle))
-    starts = ranked.select("item", "item_id", "n", "pos", "id", "seen", length.alias("length"), F.explode(F.sequence(F.greatest(F.col("pos") - last, F.lit(0)), F.least("pos", F.col("n") - length))).alias("start"))
-    windows = starts.groupBy("item", "item_id", "start", "length").agg(
-        F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "id", "pos")).alias("rarest"),
-        F.min(F.coalesce("seen", F.lit(0))).alias("least"),
-    )
-    prefixes = small(written(windows.where("least > 0").select("item", "start", "length", F.col("rarest.id").alias("id"), F.col("rarest.pos").alias("at"))))
-
-    # candidates: alignments of a document and an item that hold a window's rarest shingle where the window fits
-    begins = F.col("pos") - F.col("at") + F.col("start")
-    fits = (begins >= 0) & (begins + F.col("length") <= F.col("n_words"))
-    aligned = hits.join(prefixes, "id").where(fits).select("doc_id", "_k", "item", (F.col("pos") - F.col("at")).alias("shift")).distinct()
-
-    # exact: runs of consecutive shingles along the alignment, as long as the window at least
-    along = hits.join(small(of_items.select("id", "item", "item_id", "n", F.col("pos").alias("at"))), "id").withColumn("shift", F.col("pos") - F.col("at"))
-    on = along["doc_id"].eqNullSafe(aligned["doc_id"]) & (along["_k"] == aligned["_k"]) & (along["item"] == aligned["item"]) & (along["shift"] == aligned["shift"])
-    along = along.join(aligned, on, "left_semi").select("doc_id", "_k", "item", "item_id", "n", "shift", "pos", "size").distinct()
-    line = Window.partitionBy("doc_id", "_k", "item", "shift").orderBy("pos")
-    runs = along.withColumn("run", F.col("pos") - F.row_number().over(line)).groupBy("doc_id", "_k", "item", "item_id", "shift", "run").agg(
-        F.min("pos").alias("first"), F.max(F.col("pos") + F.col("size") - 1).alias("last"), F.first("n").alias("n")
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.explode(F.array(words(F.col(item_text_col)))).alias("all")).where(F.size("all") > 0)
+    cut = items.select("item_id", F.explode(F.expr(f"transform(sequence(0, size(all) - least(size(all), {window})), i -> slice(all, i + 1, {window}))")).alias("w"))
+    owners = written(cut.select("item_id", F.unhex(F.md5(F.array_join("w", " "))).alias("window"), "w").distinct())
+    windows = written(owners.select("window", "w").distinct().withColumn("m", F.least(F.size("w"), F.lit(shingle))).withColumn("length", F.size("w")))
+    sizes = sorted(r.m for r in windows.select("m").distinct().collect())
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("_k"), F.col(text_col).alias("text"))
+    if not sizes:
+        return rows.select("doc_id", "_k", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), F.lit(0).alias("first"), F.lit(0).alias("last")).where(F.lit(False))
+    of_windows = written(_of_sizes(windows, sizes, ["window", "length"], True))
+    found = rows.select("doc_id", "_k", words(F.col("text")).alias("w"))
+
+    # rarity: how often documents have each shingle; a window with one that none has can't occur
+    wanted = small(written(of_windows.select("id").distinct()))
+    counts = written(_of_sizes(found, sizes, [], False).join(wanted, "id").groupBy("id").agg(F.count(F.lit(1)).alias("seen")))
+    ranked = of_windows.join(small(counts), "id", "left").groupBy("window", "length").agg(
+        F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "id", "pos")).alias("rarest")
     )
-    return runs.where(F.col("last") - F.col("first") + 1 >= F.least("n", F.lit(window))).select("doc_id", "_k", "item_id", "first", "last")
+    prefixes = small(written(ranked.where("rarest.seen > 0").select("window", "length", F.col("rarest.id").alias("id"), F.col("rarest.pos").alias("at"))))
+
+    # candidates: where the rarest shingle of a window stands and the window fits around it
+    sized = found.withColumn("n_words", F.size("w"))
+    at = _of_sizes(sized, sizes, ["doc_id", "_k", "n_words"], False).join(prefixes, "id").withColumn("first", F.col("pos") - F.col("at"))
+    fits = (F.col("first") >= 0) & (F.col("first") + F.col("length") <= F.col("n_words"))
+    places = at.where(fits).groupBy("doc_id", "_k").agg(F.collect_set(F.struct("first", "length", "window")).alias("places"))
+    places = small(written(places.select(F.col("doc_id").alias("_doc"), F.col("_k").alias("_row"), "places")))
+
+    # exact: the words that stand there
+    held = rows.join(places, (rows["_k"] == places["_row"]) & rows["doc_id"].eqNullSafe(places["_doc"]))
+    held = held.select("doc_id", "_k", F.explode(F.array(words(F.col("text")))).alias("w"), "places").select("doc_id", "_k", "w", F.explode("places").alias("p"))
+    held = held.select("doc_id", "_k", "p.window", "p.first", (F.col("p.first") + F.col("p.length") - 1).alias("last"), F.slice("w", F.col("p.first") + 1, F.col("p.length")).alias("here"))
+    # rows that are wholly equal are the same here, and are judged once
+    return held.join(small(owners), "window").where("here = w").select("doc_id", "_k", "item_id", "first", "last").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingle: int = 4, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

@@ -55,3 +55,18 @@ def test_no_python_in_the_plan(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = decontaminate(docs, bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_windows_that_items_share_and_very_common_words(spark):
+    same = " ".join(f"w{i}" for i in range(20))
+    items = [(i, same + f" end{i}") for i in range(40)] + [(100, "the"), (101, "the the the the the"), (102, "of the"), (103, same)]
+    texts = ["the " * 3000, "of the " + same, same.upper() + " END7 the", "w1 " + same[3:], "of " * 50, None, ""]
+    check(spark, texts, items)
+
+
+def test_other_columns_are_ignored(spark):
+    from engram.llm.decontaminate import clean_documents
+
+    docs = spark.createDataFrame([(1, "a b c", "x", 1, None), (2, "other words", "y", 2, "z"), (None, None, None, 3, "z")], "doc_id long, text string, item_id string, n_words int, `a.b` string")
+    bench = spark.createDataFrame([("i", "a b c")], "item_id string, text string")
+    assert sorted(r[3] for r in clean_documents(docs, bench).collect()) == [2, 3]
