@@ -1,40 +1,134 @@
-"""Token counts without token ids.
+"""Token counts without token ids: distinct pre-tokens encoded once, joined to each document's frequencies.
 
-Each distinct pre-token is encoded once by a worker and only its number of ids is kept; that table
-is joined to the pre-tokens of each document, in the worker that holds the document, and summed.
-The table of all pre-tokens of a large corpus has no bound, so it is neither collected nor
-broadcast, and document texts are not shuffled: each worker holds the part that its own documents
-need, at most ``tokenizing.REMEMBERED`` entries, and starts anew beyond that.
+One pass finds the distinct pre-tokens of all documents; each is encoded once and only its number of
+ids is kept. Another pass counts each document's pre-tokens, and these frequencies are joined to that
+table and summed. Summing starts before the exchange, so a document sends one row of sums.
+Pre-tokens travel as 64-bit hashes; if two of the table share one, all is hashed with another seed.
+
+The table of all pre-tokens of a large corpus has no bound. Those that most tasks met are broadcast,
+as many as ``BROADCAST_BYTES`` allow, and only occurrences of the others are exchanged.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from engram.llm.common import written
 from engram.llm.textblock import blocks
 from engram.llm.tokenizing import pieces
 
+#: Pre-tokens that a task remembers to have told already, or the hashes of; beyond it the memory starts anew.
+_REMEMBERED = 300_000
+#: Of the pre-tokens so many bytes are broadcast, at this size of an entry.
+BROADCAST_BYTES, _ENTRY = 32 << 20, 24
+
+
+def distinct_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(piece, met): the distinct pre-tokens of the texts, and how many times a task told of each."""
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, told = pieces(tokenizer), set()
+        for block in blocks(batches):
+            new = set()
+            for text in block.rows.column(0).to_pylist():
+                new.update(known.cut_up(text or "")[0])
+            new -= told
+            if len(told) > _REMEMBERED:
+                told.clear()
+            told |= new
+            yield pa.record_batch([pa.array(new, pa.string())], names=["piece"])
+
+    return docs.select("text").mapInArrow(tell, "piece string").groupBy("piece").agg(F.count(F.lit(1)).alias("met"))
+
+
+def encoded(found: DataFrame, tokenizer: str, seed: int) -> DataFrame:
+    """(key, n, met): the hash of each pre-token and its number of ids."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pieces(tokenizer)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            keys = np.array([xxhash.xxh3_64_intdigest(x, seed) for x in texts], np.uint64).astype(np.int64)
+            yield pa.record_batch([pa.array(keys), pa.array([known.known[x] for x in texts], pa.int64()), batch.column(1)], names=["key", "n", "met"])
+
+    return found.mapInArrow(encode, "key long, n long, met long")
 
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def frequencies(docs: DataFrame, tokenizer: str, seed: int) -> DataFrame:
+    """A row per row of ``docs`` (doc_id, text): doc_id, n_bytes, digest of the text, ids of its special strings, keys and times of its pre-tokens."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, hashed = pieces(tokenizer), {}
+        for block in blocks(batches):
+            digests, others, keys, times, ends = [], [], [], [], [0]
+            for text in block.rows.column(1).to_pylist():
+                found, special = known.cut_up(text or "")
+                tallied = Counter(found)
+                for piece in tallied.keys() - hashed.keys():
+                    hashed[piece] = xxhash.xxh3_64_intdigest(piece, seed)
+                keys += map(hashed.__getitem__, tallied)
+                times += tallied.values()
+                ends.append(len(keys))
+                digests.append(xxhash.xxh3_128_digest(text or ""))
+                others.append(special)
+                if len(hashed) > _REMEMBERED:
+                    hashed.clear()
+            offsets = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.array(times, pa.int32()))]
+            yield pa.record_batch([block.rows.column(0), pa.array(block.lengths, pa.int64()), pa.array(digests, pa.binary()), pa.array(others, pa.int64()), *lists], names=["doc_id", "n_bytes", "digest", "special", "keys", "times"])
+
+    return docs.mapInArrow(tally, f"doc_id {kind}, n_bytes long, digest binary, special long, keys array<long>, times array<int>")
+
+
+def _hot(table: DataFrame, most: int) -> int:
+    """The least ``met`` for which the pre-tokens that were met as often are ``most`` at most, a power of 2."""
+    sizes = {r.level: r.n for r in table.groupBy(F.floor(F.log2("met")).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, least = 0, max(sizes, default=0) + 1
+    for level in sorted(sizes, reverse=True):
+        total += sizes[level]
+        if total > most:
+            break
+        least = level
+    return 0 if least == min(sizes, default=0) else 1 << least
+
+
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of ``docs``: its id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     A null or empty text has 0 bytes and 0 tokens. Ids may be null or repeat: each row is counted
     by itself. Other columns of ``docs`` are ignored. An empty table gives an empty result.
-    ``tokenizer`` is the path of a tokenizer file that every worker can read.
+    ``tokenizer`` is the path of a tokenizer file that every worker can read. Texts of a tokenizer
+    that isn't byte-level BPE have no known pre-tokens and are encoded whole.
     """
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pieces(tokenizer)
-        for block in blocks(batches):
-            n = [sum(known.values(t or "")) for t in block.rows.column(1).to_pylist()]
-            yield pa.record_batch(
-                [block.rows.column(0), pa.array(block.lengths, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+    found = written(distinct_pieces(rows, tokenizer))
+    for seed in count():
+        table = written(encoded(found, tokenizer, seed))
+        if table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            break
+    hot = _hot(table, broadcast_bytes // _ENTRY)
+    common = F.broadcast(table.where(F.col("met") >= hot).select("key", "n"))
 
-    return rows.mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    # equal rows are one group, and come apart again at the end
+    row = ["doc_id", "n_bytes", "digest"]
+    tallied = frequencies(rows, tokenizer, seed)
+    own = F.struct(F.lit(None).cast("long").alias("keys"), F.lit(None).cast("int").alias("times"), F.lit(1).alias("rows"), F.col("special"))
+    each = F.transform(F.arrays_zip("keys", "times"), lambda x: F.struct(x["keys"].alias("keys"), x["times"].alias("times"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("special")))
+    each = tallied.select(*row, F.inline(F.concat(F.array(own), each))).withColumnRenamed("keys", "key")
+    parts = each.join(common, "key", "left").select(*row, "rows", (F.coalesce(F.col("n") * F.col("times"), F.lit(0)) + F.col("special")).alias("tokens"))
+    if hot:
+        rest = each.where("key IS NOT NULL").join(common, "key", "left_anti").join(table.where(F.col("met") < hot).select("key", "n"), "key")
+        parts = parts.unionByName(rest.select(*row, F.lit(0).alias("rows"), (F.col("n") * F.col("times")).alias("tokens")))
+    summed = parts.groupBy(*row).agg(F.sum("rows").cast("int").alias("rows"), F.sum("tokens").alias("tokens"))
+    n_tokens = F.floor(F.col("tokens") / F.col("rows")).cast("long")
+    out = summed.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), F.explode(F.sequence(F.lit(1), "rows")))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -59,10 +59,28 @@ class Pieces:
         self.special = {t["content"]: value([t["id"]]) for t in added}
         self.cut = re.compile("(" + "|".join(sorted(map(re.escape, self.special), key=len, reverse=True)) + ")").split if added else None
         self.known = _Known(self.tokenizer.model, value, remembered)
+        self.byte_of = {c: b for b, c in self.known.stand_in.items()}
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def cut_up(self, text: str) -> tuple[list[str], int]:
+        """The text's pre-tokens, and the number of ids of its special strings (of all of it, if its pre-tokens aren't known)."""
+        if not self.plain:
+            return [], len(self.ids(text))
+        parts, special = [text], 0
+        if self.cut and any(s in text for s in self.special):
+            parts = self.cut(text)
+            parts, special = parts[::2], len(parts) // 2
+        found: list[str] = []
+        for part in parts:
+            found += self.library_pieces(part) if self.odd(part) else self.find(part)
+        return found, special
+
+    def library_pieces(self, text: str) -> list[str]:
+        """The pre-tokens as the library cuts them, from its stand-ins of bytes."""
+        return [p.translate(self.byte_of).encode("latin-1").decode() for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
     def values(self, text: str) -> Iterator:
         """The values of the text's pre-tokens in order; special strings as the library takes them."""
         if not self.plain or self.odd(text):

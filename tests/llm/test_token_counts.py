@@ -27,6 +27,37 @@ def test_every_character_is_cut_as_the_library_does():
         assert [sum(pieces.values(t)) for t in part] == [len(e.ids) for e in library.encode_batch(part, add_special_tokens=False)]
 
 
+def test_pieces_are_those_of_the_library():
+    pieces, library = Pieces(PATH), Tokenizer.from_file(PATH)
+    for text in [t for t in sample_texts() if t] + [r["text"] for r in stored()] + ["हिन्दी में \u0e01\u0e02 👩‍🚀!! it's 5\u00b2 <|endoftext|>  x", "<|endoftext|>" * 3]:
+        found, special = pieces.cut_up(text)
+        assert sum(pieces.known[p] for p in found) + special == len(library.encode(text, add_special_tokens=False).ids)
+        if not special:
+            assert "".join(found) == text and found == pieces.library_pieces(text)
+
+
+@pytest.mark.parametrize("most", [0, 24 * 40])
+def test_counts_with_few_or_no_broadcast_pieces(spark, most):
+    library = Tokenizer.from_file(PATH)
+    texts = sample_texts()
+    got = {r.doc_id: r.n_tokens for r in count_tokens(docs_of(spark, texts).repartition(4), PATH, broadcast_bytes=most).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_equal_rows_and_long_texts(spark):
+    library = Tokenizer.from_file(PATH)
+    long = " ".join(f"w{k % 9973} été" for k in range(200_000))
+    texts = ["a b", "a b", long, None, "", None]
+    got = sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in count_tokens(docs_of(spark, texts, [1, 1, 2, 3, 3, 3]), PATH).collect())
+    n = len(library.encode(long, add_special_tokens=False).ids)
+    assert got == [(1, 3, 2), (1, 3, 2), (2, len(long.encode()), n), (3, 0, 0), (3, 0, 0), (3, 0, 0)]
+
+
+def test_the_plan_joins_frequencies(spark):
+    plan = count_tokens(docs_of(spark), PATH)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan and "Aggregate" in plan
+
+
 def test_memory_of_pieces_is_bounded():
     pieces = Pieces(PATH, remembered=5)
     for k in range(20):
