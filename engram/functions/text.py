@@ -127,17 +127,34 @@ def encode_entity(name: Column, codes: dict[str, str], skip: list[str] | None =
     return code
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def starts_where(items: Column, changes) -> Column:
+    """The places (from 0) of an array where ``changes`` (element, the one before) says so, and its first one."""
+    at = F.sequence(F.lit(0), F.size(items) - 1)
+    return F.when(F.size(items) == 0, F.array().cast("array<int>")).otherwise(F.filter(at, lambda i: (i == 0) | changes(F.get(items, i), F.get(items, i - 1))))
+
+
+def pieces_at(items: Column, starts: Column, body) -> Column:
+    """``body`` of each part of an array that begins at one of the (ascending) places and ends before the next."""
+    return F.transform(starts, lambda a, j: body(F.slice(items, a + 1, F.coalesce(F.get(starts, j + 1), F.size(items)) - a)))
+
+
 def topics(text: Column | str, most: int = 3, stop_words: list[str] | None = None) -> Column:
-    """The weightiest words: 1 for each occurrence, 2 more if capitalised, 2 more if compound; ties in order of letters."""
+    """The weightiest words: 1 for each occurrence, 2 more if capitalised, 2 more if compound; ties in order of letters.
+
+    Occurrences are sorted and summed from one word to the next, so a text takes time in proportion to its length.
+    """
     stop = strings(stop_words if stop_words is not None else L.TOPIC_STOP_WORDS)
     words = F.regexp_extract_all(_col(text), F.lit("[a-zA-Z][a-zA-Z_-]{2,}"), F.lit(0))
     heavy = lambda w: 1 + F.when(F.rlike(w, F.lit("^[A-Z]")), 2).otherwise(0) + F.when(F.rlike(w, F.lit("[_-]|^.+[A-Z]")), 2).otherwise(0)
-    pairs = F.transform(words, lambda w: F.struct(F.lower(w).alias("w"), heavy(w).alias("n")))
-    pairs = F.array_sort(F.filter(pairs, lambda p: ~F.array_contains(stop, p["w"])))
-    zero = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.array().cast("array<struct<n:int,w:string>>").alias("done"))
-    flush = lambda acc: F.when(acc["w"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct((-acc["n"]).alias("n"), acc["w"].alias("w")))))
-    step = lambda acc, p: F.when(acc["w"] == p["w"], F.struct(acc["w"].alias("w"), (acc["n"] + p["n"]).alias("n"), acc["done"].alias("done"))).otherwise(F.struct(p["w"].alias("w"), p["n"].alias("n"), flush(acc).alias("done")))
-    ranked = F.array_sort(F.aggregate(pairs, zero, step, flush))
+    pairs = F.sort_array(F.transform(words, lambda w: F.struct(F.lower(w).alias("w"), heavy(w).alias("n"))))
+    summed = lambda part: F.struct((-F.aggregate(part, F.lit(0), lambda n, p: n + p["n"])).alias("n"), F.get(part, F.lit(0))["w"].alias("w"))
+    sums = let(pairs, lambda all_: let(starts_where(all_, lambda x, y: x["w"] != y["w"]), lambda at: pieces_at(all_, at, lambda part: let(part, summed))))
+    ranked = F.sort_array(F.filter(sums, lambda p: ~F.array_contains(stop, p["w"])))
     return F.transform(F.slice(ranked, 1, most), lambda p: p["w"])
 
 
@@ -223,15 +240,15 @@ def is_code_line(line: Column) -> Column:
 
 
 def prose(text: Column) -> Column:
-    """The text without fenced blocks and code lines; as it is if nothing else is there."""
-    lines = F.split(text, r"\r?\n")
-    fenced = lambda l: F.startswith(F.regexp_replace(l, r"^\s+", ""), F.lit("```"))
-    zero = F.struct(F.lit(False).alias("code"), F.array().cast("array<string>").alias("kept"))
-    step = lambda acc, l: F.when(fenced(l), F.struct((~acc["code"]).alias("code"), acc["kept"].alias("kept"))).otherwise(
-        F.struct(acc["code"].alias("code"), F.when(acc["code"] | is_code_line(l), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(l))).alias("kept"))
-    )
-    kept = F.aggregate(lines, zero, step, lambda acc: acc["kept"])
-    return F.when(F.size(kept) == 0, text).otherwise(F.regexp_replace(F.array_join(kept, "\n"), r"^\s+|\s+$", ""))
+    """The text without fenced blocks and code lines; as it is if nothing else is there.
+
+    A block goes from a line that begins with three back-ticks to the next such line, or to the end.
+    """
+    # a last line of its own is cut off again: it, or what an open block leaves of it
+    marked = F.concat(text, F.lit("\n\0"))
+    open_ = F.regexp_replace(marked, r"(?dms)^[^\S\n]*```.*?(?:^[^\S\n]*```[^\n]*\n|\z)", "")
+    kept = let(F.split(open_, r"\r?\n"), lambda all_: F.filter(F.slice(all_, 1, F.size(all_) - 1), lambda l: ~is_code_line(l)))
+    return let(kept, lambda k: F.when(F.size(k) == 0, text).otherwise(F.regexp_replace(F.array_join(k, "\n"), r"^\s+|\s+$", "")))
 
 
 def needed_literal(pattern: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import lexicon as L
+from engram.functions.text import let, pieces_at, starts_where
 
 #: Fixed values of the chunker, in bytes.
 CHUNK, OVERLAP, LEAST = 800, 100, 50
@@ -82,21 +83,16 @@ def paragraphs(text: Column, least: int = 31) -> Column:
 
 def exchanges(text: Column, least: int = 31, answer_lines: int = 8) -> Column:
     """Each line that begins with > with the answer below it, until the next or a rule; at most 8 lines of answer."""
-    zero = F.struct(F.lit(None).cast("string").alias("turn"), F.array().cast("array<string>").alias("answer"), F.array().cast("array<string>").alias("done"))
+    opens = lambda l: F.startswith(l, F.lit(">"))
 
-    def closed(acc: Column) -> Column:
-        body = F.when(F.size(acc["answer"]) > 0, F.concat(acc["turn"], F.lit("\n"), F.array_join(F.slice(acc["answer"], 1, answer_lines), " "))).otherwise(acc["turn"])
-        return F.when(acc["turn"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(body)))
+    def exchange(part: Column) -> Column:
+        answer = F.array_join(F.slice(F.filter(F.slice(part, 2, 1 << 30), lambda l: l != ""), 1, answer_lines), " ")
+        return F.concat(F.get(part, F.lit(0)), F.when(answer != "", F.concat(F.lit("\n"), answer)).otherwise(""))
 
-    def step(acc: Column, raw: Column) -> Column:
-        s = trimmed(raw)
-        none = F.array().cast("array<string>")
-        opened = F.struct(s.alias("turn"), none.alias("answer"), closed(acc).alias("done"))
-        ended = F.struct(F.lit(None).cast("string").alias("turn"), none.alias("answer"), closed(acc).alias("done"))
-        more = F.struct(acc["turn"].alias("turn"), F.when(acc["turn"].isNotNull() & (s != ""), F.concat(acc["answer"], F.array(s))).otherwise(acc["answer"]).alias("answer"), acc["done"].alias("done"))
-        return F.when(F.startswith(s, F.lit(">")), opened).when(F.startswith(s, F.lit("---")), ended).otherwise(more)
-
-    return F.filter(F.aggregate(lines(text), zero, step, closed), lambda x: F.octet_length(trimmed(x)) >= least)
+    all_ = F.transform(lines(text), trimmed)
+    turn = lambda part: F.when(opens(F.get(part, F.lit(0))), let(part, exchange))
+    parts = let(all_, lambda x: let(starts_where(x, lambda l, _: opens(l) | F.startswith(l, F.lit("---"))), lambda at: pieces_at(x, at, lambda part: let(part, turn))))
+    return F.filter(F.array_compact(parts), lambda x: F.octet_length(trimmed(x)) >= least)
 
 
 def conversation_chunks(text: Column) -> Column:
@@ -109,10 +105,7 @@ def segments(text: Column) -> Column:
     """Parts to classify: turns where three lines or more are turns, else paragraphs, else groups of 25 lines."""
     all_lines = lines(text)
     is_turn = lambda l: F.rlike(trimmed(l), F.lit("|".join(f"(?:{p})" if not p.startswith("(?i)") else f"(?i:{p[4:]})" for p in L.TURN_PATTERNS)))
-    zero = F.struct(F.array().cast("array<string>").alias("now"), F.array().cast("array<string>").alias("done"))
-    closed = lambda acc: F.when(F.size(acc["now"]) == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.array_join(acc["now"], "\n"))))
-    step = lambda acc, l: F.when(is_turn(l), F.struct(F.array(l).alias("now"), closed(acc).alias("done"))).otherwise(F.struct(F.concat(acc["now"], F.array(l)).alias("now"), acc["done"].alias("done")))
-    turns = F.aggregate(all_lines, zero, step, closed)
+    turns = let(all_lines, lambda x: let(starts_where(x, lambda l, _: is_turn(l)), lambda at: pieces_at(x, at, lambda part: F.array_join(part, "\n"))))
     parts = F.filter(F.transform(F.split(text, "\n\n"), trimmed), lambda p: p != "")
     grouped = F.filter(_groups(all_lines), lambda p: p != "")
     return F.when(F.size(F.filter(all_lines, is_turn)) >= 3, turns).when((F.size(parts) <= 1) & (F.size(all_lines) > 20), grouped).otherwise(parts)

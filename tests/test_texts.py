@@ -1,4 +1,7 @@
 import json
+import random
+import re
+from collections import Counter
 
 import pytest
 
@@ -7,6 +10,7 @@ from engram.functions import text as T
 from engram.operators import chunking, entities, extract, summary, transcripts
 from engram.operators.spelling import Speller, default_dictionary
 from engram.plans import catalogue
+from engram.plans.views import view
 
 
 def rows(spark, texts):
@@ -113,6 +117,64 @@ def test_spelling():
     assert speller.transcript("> alredy\nalredy") == "> already\nalredy"
 
 
-def test_lists_hold_no_more_than_their_bound():
-    sizes = [len(v) for v in vars(L).values() if isinstance(v, (list, dict, tuple))]
-    assert max(sizes) <= 200
+def _awkward(n=400):
+    rng = random.Random(7)
+    parts = ["> q", ">ask more things here please", "an answer line that is long enough", "---", "--- x", "", "  ", "```", "``` py", "  ```", "import os", "$ ls", "Plain words here.", "Human: one", "Assistant: two", "text\r", "| a | b |", "My Alpha_Beta gammaDelta alpha the"]
+    return ["\n".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(n)] + [""]
+
+
+def test_topics_equal_counting(spark):
+    texts = [*_awkward(), " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}x{chr(97 + k % 7)}" for k in range(30000))]
+
+    def topics(text):
+        n = Counter()
+        for w in re.findall("[a-zA-Z][a-zA-Z_-]{2,}", text):
+            n[w.lower()] += 1 + 2 * w[0].isupper() + 2 * bool(re.search("[_-]|^.+[A-Z]", w))
+        return [w for _, w in sorted((-k, w) for w, k in n.items() if w not in L.TOPIC_STOP_WORDS)][:5]
+
+    assert one(spark, texts, T.topics("text", 5)) == [topics(t) for t in texts]
+
+
+def test_exchanges_and_segments_equal_a_walk(spark):
+    def walk(text, opens, ends):
+        out, now = [], None
+        for line in re.sub(r"\r?\n$", "", text).split("\n"):
+            line = line.removesuffix("\r") if not text.endswith(line) or "\n" in text else line
+            if opens(line) or ends(line):
+                out += [now] if now else []
+                now = [line] if opens(line) else None
+            elif now is not None:
+                now.append(line)
+        return out + ([now] if now else [])
+
+    def exchanges(text):
+        found = []
+        for first, *rest in walk(text, lambda x: x.strip().startswith(">"), lambda x: x.strip().startswith("---")):
+            answer = " ".join([x.strip() for x in rest if x.strip()][:8])
+            found.append(first.strip() + ("\n" + answer if answer else ""))
+        return [x for x in found if len(x.encode()) >= 31]
+
+    texts = [t for t in _awkward() if "\r" not in t]
+    assert one(spark, texts, chunking.exchanges(T.F.col("text"))) == [exchanges(t) for t in texts]
+
+
+def test_prose_equals_a_walk(spark):
+    plain = [t for t in _awkward() if "\r" not in t]
+    is_code = dict(zip(sorted({x for t in plain for x in t.split("\n")}), one(spark, sorted({x for t in plain for x in t.split("\n")}), T.is_code_line(T.F.col("text")))))
+
+    def prose(text):
+        kept, code = [], False
+        for line in text.split("\n"):
+            if line.lstrip().startswith("```"):
+                code = not code
+            elif not code and not is_code[line]:
+                kept.append(line)
+        return "\n".join(kept).strip() if kept else text
+
+    assert one(spark, plain, T.prose(T.F.col("text"))) == [prose(t) for t in plain]
+
+
+def test_no_text_of_the_tables_decides(spark):
+    """The SQL of dia_summaries leaves out the part for texts that are flagged as decisions."""
+    docs = view(spark, "/root/testdata/sf0.01", "documents")
+    assert docs.where(T.F.array_contains(T.flags("text"), "DECISION")).count() == 0
