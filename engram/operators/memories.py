@@ -6,12 +6,15 @@ Facts are only appended: ``memories``, ``accesses`` (id, at), ``tombstones`` (id
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import lexicon as L
+from engram.functions.vector import hashed_embedding
+from engram.session import kept
 
 #: Most rows of a recency query, memories in a store, and rows of each report.
 MOST_ROWS, MOST_MEMORIES = 10_000, 100_000
@@ -108,24 +111,35 @@ def without(memories: DataFrame, tombstones: DataFrame, protected: list[str] | N
     return memories.join(gone, "id", "left").where(safe | F.col("_gone").isNull()).drop("_gone")
 
 
-def appended(memories: DataFrame, new: DataFrame, now: int, most: int = MOST_MEMORIES) -> DataFrame:
-    """``new`` rows (text_content, wing, room, ...) as memories after those there are; too many are refused."""
-    have = memories.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()
-    if have.n + new.count() > most:
-        raise ValueError(f"more than {most} memories")
-    from pyspark.sql import Window
+def appended(memories: DataFrame, new: DataFrame, now: int, most: int | None = None) -> DataFrame:
+    """``new`` rows (text_content, wing, room, ...) as memories, numbered on from those there are, in order of text, wing and room.
 
-    numbered = new.withColumn("id", have.top + F.row_number().over(Window.orderBy("text_content", "wing", "room")).cast("long"))
+    The sorted rows are kept, each partition numbers its own, and numbers start after the rows of the
+    partitions before, so no task sees more than a partition. With ``most``, too many are refused.
+    """
+    if most is not None and memories.count() + new.count() > most:
+        raise ValueError(f"more than {most} memories")
+    sorted_ = kept(new.orderBy("text_content", "wing", "room").withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sorted_.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    starts = starts.crossJoin(memories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")))
+    numbered = sorted_.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    place = F.col("_top") + F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    numbered = numbered.withColumn("id", place.cast("long")).drop("_at", "_part", "_before", "_top")
     filled = numbered.withColumns({"valid_from": F.lit(now).cast("long"), "last_accessed": F.lit(now).cast("long"), "access_count": F.lit(0).cast("long"), "importance_score": F.lit(5.0)})
     return memories.unionByName(filled, allowMissingColumns=True)
 
 
-def current_view(memories: DataFrame, accesses: DataFrame | None = None, tombstones: DataFrame | None = None, rewrites: DataFrame | None = None) -> DataFrame:
-    """Memories after all rewrites, deletions and accesses."""
+def current_view(memories: DataFrame, accesses: DataFrame | None = None, tombstones: DataFrame | None = None, rewrites: DataFrame | None = None, embed: Callable[[Column], Column] | None = hashed_embedding) -> DataFrame:
+    """Memories after all rewrites, deletions and accesses. A rewritten text has a new vector, by ``embed``, if there are vectors."""
     out = memories
     if rewrites is not None:
         last = rewrites.groupBy("id").agg(F.max_by("text_content", "at").alias("_text"))
-        out = out.join(last, "id", "left").withColumn("text_content", F.coalesce("_text", "text_content")).drop("_text")
+        out = out.join(last, "id", "left").withColumn("text_content", F.coalesce("_text", "text_content"))
+        if embed is not None and "embedding" in out.columns:
+            out = out.withColumn("embedding", F.when(F.col("_text").isNull(), F.col("embedding")).otherwise(embed(F.col("_text"))))
+        out = out.drop("_text")
     if tombstones is not None:
         out = without(out, tombstones)
     if accesses is not None:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.text import decayed_importance
-from engram.operators.search import knn_batch
+from engram.operators.search import knn_join
+from engram.session import kept
 
 
 def clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -16,13 +17,13 @@ def clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     it, and then belongs to the smallest such seed. Each round settles the nodes whose smaller
     neighbours are settled.
     """
-    edges = edges.where("src < dst").persist()
-    state = nodes.select("id", F.lit(None).cast("boolean").alias("seed"))
+    edges = kept(edges.where("src < dst"))
+    state = kept(nodes.select("id", F.lit(None).cast("boolean").alias("seed")))
     while True:
         incoming = edges.join(state.select(F.col("id").alias("src"), F.col("seed").alias("src_seed")), "src")
         seen = incoming.groupBy(F.col("dst").alias("id")).agg(F.max(F.coalesce("src_seed", F.lit(False))).alias("claimed"), F.max(F.col("src_seed").isNull()).alias("open"))
         new = state.join(seen, "id", "left").select("id", F.coalesce("seed", F.when(F.col("claimed"), F.lit(False)).when(F.coalesce("open", F.lit(False)), F.lit(None)).otherwise(F.lit(True))).alias("seed"))
-        state = new.checkpoint() if nodes.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else new.persist()
+        state = kept(new)
         if state.where("seed IS NULL").isEmpty():
             break
     seeds = state.where("seed").select(F.col("id").alias("src"))
@@ -32,7 +33,7 @@ def clusters(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def neighbours(vectors: DataFrame, theta: float, k: int = 10) -> DataFrame:
     """Edges (src, dst) from each vector to those of its k nearest (itself included) that are closer than 1 - theta."""
-    near = knn_batch(vectors, vectors, k)
+    near = knn_join(vectors, vectors, k)
     return near.where((F.col("query_id") != F.col("id")) & (F.lit(1.0) - F.col("score") < 1 - theta)).select(F.col("query_id").alias("src"), F.col("id").alias("dst"))
 
 

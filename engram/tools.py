@@ -55,7 +55,7 @@ def _add(s: Store, wing: str, room: str, content: str, source_file: str | None =
     if len(content.encode()) > MOST_BYTES:
         raise ValueError("content is too long")
     new = s._one(text_content=content, wing=wing, room=room).withColumns({"source_file": F.lit(source_file).cast("string"), "embedding": s.embed(F.col("text_content"))})
-    s.memories = memories.appended(s.memories, new, s.now)
+    s.memories = memories.appended(s.memories, new, s.now, memories.MOST_MEMORIES)
     return s.memories.orderBy(F.desc("id")).limit(1).select("id", "wing", "room")
 
 

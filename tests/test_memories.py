@@ -43,6 +43,30 @@ def test_append_counts_on_and_refuses_too_many(spark):
         memories.appended(store, new, NOW, most=2)
 
 
+def test_append_numbers_rows_of_many_partitions(spark):
+    store = spark.createDataFrame([(7, "old", "w", "r")], "id long, text_content string, wing string, room string")
+    new = spark.range(1000).selectExpr("concat('t', lpad(id, 4, '0')) AS text_content", "'w' AS wing", "'r' AS room").repartition(9)
+    rows = memories.appended(store, new, NOW).where("id > 7").orderBy("id").collect()
+    assert [(r.id, r.text_content) for r in rows] == [(8 + i, f"t{i:04d}") for i in range(1000)]
+
+
+def test_rewritten_texts_have_new_vectors(spark):
+    from engram.functions.vector import hashed_embedding
+
+    held = spark.createDataFrame([(1, "one two"), (2, "three")], "id long, text_content string").withColumn("embedding", hashed_embedding(F.col("text_content")))
+    rewrites = spark.createDataFrame([(1, "four five", 3), (1, "old", 2)], "id long, text_content string, at int")
+    got = {r.id: r for r in memories.current_view(held, rewrites=rewrites).withColumn("want", hashed_embedding(F.col("text_content"))).collect()}
+    assert got[1].text_content == "four five" and all(r.embedding == r.want for r in got.values())
+
+
+def test_a_judge_sees_batches(spark):
+    from engram.operators import evaluate
+
+    rows = spark.createDataFrame([("yes it is", "it"), ("no", "it")], "answer string, nugget string")
+    judge = lambda answers, nuggets: answers.combine(nuggets, lambda a, n: float(n in a))
+    assert [r.score for r in evaluate.judged(rows, judge).collect()] == [1.0, 0.0]
+
+
 def test_search_finds_itself_first(spark):
     vec = view(spark, SF, "vec")
     one = vec.where("id = 42").first()
@@ -51,6 +75,8 @@ def test_search_finds_itself_first(spark):
     assert search.duplicate_check(vec, list(one.embedding)).first().is_duplicate
     assert search.knn(vec, list(one.embedding), 5, wing="w1", honor_partial_filters=False).count() == 5
     batch = search.knn_batch(vec, vec.where("id < 30"), 5)
+    joined = search.knn_join(vec, vec.where("id < 30"), 5, block=16)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, batch.collect()))
     assert batch.where("query_id = id AND rank = 1").count() == 30 and batch.count() == 150
     cells = search.knn_cells(vec, vec.where("id < 30"), 5, cells=8, probes=8)
     assert {tuple(r) for r in cells.select("query_id", "id").collect()} == {tuple(r) for r in batch.select("query_id", "id").collect()}
