@@ -56,7 +56,9 @@ def summarised(docs: DataFrame, id_col: str, text_col: str, density: int = 5, co
     """
     meta = {"wing": wing, "room": room, "date": date, "source_file": source}
     rows = fields(docs, id_col, text_col, density, codes)
-    decided = structured_memories(docs, id_col, text_col).where("memory_type = 'Decision'")
+    # only texts with that flag need their memories
+    flagged = docs.where(F.array_contains(flags(F.col(text_col)), "DECISION"))
+    decided = structured_memories(flagged, id_col, text_col).where("memory_type = 'Decision'")
     first = decided.groupBy("id").agg(F.min_by(F.size("matrix") == 4, "chunk_index").alias("_whole"))
     rows = rows.join(first, "id", "left")
     extra = docs.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"_{k}") for k, c in meta.items() if c))

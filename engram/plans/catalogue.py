@@ -218,16 +218,20 @@ def ctx_l1_top15(spark, d):
     return context.story_top(view(spark, d, "mem"), NOW).drop("text_content", "valid_from")
 
 
-@query(f"""SELECT place, room, head, line, total FROM (SELECT *, sum(length(line) + coalesce(length(head), 0)) OVER (ORDER BY place) AS total FROM (
+_LINES = f"""SELECT place, room, head, line, total FROM (SELECT *, sum(length(line) + coalesce(length(head), 0)) OVER (ORDER BY place) AS total FROM (
     SELECT room, row_number() OVER (ORDER BY room, importance DESC, valid_from DESC, id DESC) AS place,
       CASE WHEN row_number() OVER (PARTITION BY room ORDER BY importance DESC, valid_from DESC, id DESC) = 1 THEN '### ' || upper(room) END AS head,
       '  - WT:' || least(round(importance * 2), 9)::INT || '| ' || {_SNIP.format(n=200)} || '  (' || regexp_extract(source_file, '[^/]*$') || ')' AS line
-    FROM (SELECT *, replace(regexp_replace(text_content, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS t FROM ({_TOP})))) WHERE total <= 3200""")
+    FROM (SELECT *, replace(regexp_replace(text_content, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS t FROM ({_TOP})))) WHERE total <= 3200"""
+
+
+@query(_LINES)
 def ctx_l1_budget(spark, d):
     return context.story_lines(view(spark, d, "mem"), NOW)
 
 
-@query()
+@query(f"""SELECT '## L0 — IDENTITY' || chr(10) || 'No identity configured.' || chr(10) || chr(10) || '## L1 — ESSENTIAL STORY' || chr(10)
+    || string_agg(concat_ws(chr(10), head, line), chr(10) ORDER BY place) || CASE WHEN count(*) < (SELECT count(*) FROM ({_TOP})) THEN chr(10) || '  ... (more in L3 search)' ELSE '' END AS text FROM ({_LINES})""")
 def ctx_l1_story(spark, d):
     return context.wake_up(view(spark, d, "mem"), NOW)
 
@@ -237,12 +241,16 @@ def ctx_l2_lines(spark, d):
     return context.recall_lines(view(spark, d, "mem"), "en", limit=25)
 
 
-@query()
+_FOUND = f"""SELECT v.id, score, row_number() OVER (ORDER BY score DESC, v.id) AS rank, m.wing, m.room, m.source_file, text_content, replace(regexp_replace(text_content, '^\\s+|\\s+$', '', 'g'), chr(10), ' ') AS t
+    FROM (SELECT id, {_SCORE} AS score FROM vec ORDER BY score DESC, id LIMIT 5) v JOIN mem m ON v.id = m.id"""
+
+
+@query(f"SELECT rank, id, '  [' || rank || '] ' || wing || '/' || room || ' (sim=' || printf('%.3f', score) || ') ' || {_SNIP.format(n=300)} AS line FROM ({_FOUND})")
 def ctx_search_lines(spark, d):
     return context.search_lines(view(spark, d, "mem"), view(spark, d, "vec").select("id", "embedding", "wing", "room", "valid_from", "valid_to"), PROBE)
 
 
-@query()
+@query(f"""SELECT '{{"query":"probe","filters":{{}},"results":' || to_json(coalesce(list({{'text': text_content, 'wing': wing, 'room': room, 'source_file': source_file, 'similarity': score}} ORDER BY score DESC, id), []))::VARCHAR || '}}' AS json FROM ({_FOUND})""")
 def ctx_search_json(spark, d):
     return context.search_json(view(spark, d, "mem"), view(spark, d, "vec"), "probe", PROBE)
 
@@ -504,19 +512,57 @@ def txt_structured_memories(spark, d):
 # --- summaries -------------------------------------------------------------------------------
 
 
-@query()
+def _entities_sql(text: str, most: int) -> str:
+    """Codes of the capitalised words but the first, each once."""
+    words = f"list_transform(regexp_extract_all({text}, '[^\\s]+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{M}}]', '', 'g'))"
+    kept = f"list_filter({words}[2:], lambda w: strlen(w) >= 2 AND regexp_matches(w, '^\\p{{Lu}}\\p{{Ll}}*$') AND NOT list_contains({_STOP}, lower(w)))"
+    coded = f"list_transform({kept}, lambda w: upper(replace(w[1:3], 'ß', 'ss')) || '[#' || sha256(lower(w))[1:5] || ']')"
+    return f"list_filter({coded}, lambda x, i: list_position({coded}, x) = i)[1:{most}]"
+
+
+def _topics_sql(rows: str, key: str, most: int) -> str:
+    return f"""SELECT {key}, list(w ORDER BY n DESC, w)[1:{most}] AS topics FROM (
+    SELECT {key}, lower(x) AS w, sum(1 + CASE WHEN regexp_matches(x, '^[A-Z]') THEN 2 ELSE 0 END + CASE WHEN regexp_matches(x, '[_-]|^.+[A-Z]') THEN 2 ELSE 0 END) AS n
+    FROM (SELECT {key}, unnest(regexp_extract_all(text, '[a-zA-Z][a-zA-Z_-]{{2,}}')) AS x FROM {rows}) WHERE NOT list_contains({_STOP}, lower(x)) GROUP BY ALL) GROUP BY {key}"""
+
+
+_FIELDS = f"""SELECT d.doc_id AS id, d.text, e.entities, coalesce(t.topics, []) AS topics, coalesce(q.quote, '') AS quote, {_first_three('s.e')} AS emotions, {_first_three('s.f')} AS flags,
+      CASE WHEN d.text = '' THEN 1.0::DOUBLE ELSE round(least(0.5, len(e.entities) * 0.2::DOUBLE) + least(0.5, len(coalesce(t.topics, [])) * 0.1::DOUBLE), 2) END AS faithfulness
+    FROM documents d JOIN (SELECT doc_id, {_entities_sql('text', 3)} AS entities FROM documents) e ON d.doc_id = e.doc_id
+    JOIN (SELECT doc_id, {_signal_sql(L.EMOTION_SIGNALS)} AS e, {_signal_sql(L.FLAG_SIGNALS)} AS f FROM documents) s ON d.doc_id = s.doc_id
+    LEFT JOIN ({_topics_sql('documents', 'doc_id', 3)}) t ON d.doc_id = t.doc_id LEFT JOIN ({ORACLES['txt_key_sentence']}) q ON d.doc_id = q.doc_id"""
+
+
+@query(f"SELECT * EXCLUDE (text) FROM ({_FIELDS})")
 def dia_compress_fields(spark, d):
     docs = view(spark, d, "documents")
     return summary.fields(docs, "doc_id", "text").drop("text")
 
 
-@query()
+def _line_sql(head: str) -> str:
+    part = lambda c, sep, other: f"CASE WHEN len({c}) = 0 THEN {other} ELSE array_to_string({c}, '{sep}') END"
+    quote = "CASE WHEN quote <> '' THEN '\"' || quote || '\"' END, " if head == "'0:'" else ""
+    return f"concat_ws('|', {head} || {part('entities', '+', chr(39) + '???' + chr(39))}, {part('topics', '_', chr(39) + 'misc' + chr(39))}, {quote}{part('emotions', '+', 'NULL')}, {part('flags', '+', 'NULL')})"
+
+
+#: For texts that decide nothing, as those of the test tables (a test checks that).
+_SUMMARIES = f"""SELECT id, 'V:3.2' || chr(10) || wing || '|' || room || '|?|doc_' || id || chr(10) || {_line_sql("'0:'")} || chr(10)
+      || 'JSON:{{"version":"V:3.2","wing":"' || wing || '","room":"' || room || '","source_file":"' || source_file || '","extra":{{"faithfulness":' || faithfulness::VARCHAR || '}}}}' AS summary
+    FROM (SELECT f.*, m.wing, m.room, m.source_file FROM ({_FIELDS}) f JOIN mem m ON f.id = m.id)"""
+
+
+@query(_SUMMARIES)
 def dia_summaries(spark, d):
     mem = view(spark, d, "mem")
     return summary.summarised(mem, "id", "text_content", wing="wing", room="room", source="source_file")
 
 
-@query()
+_PROPOSED = f"SELECT doc_id, place, row_number() OVER (ORDER BY doc_id, place) AS nth, proposition AS text FROM ({ORACLES['txt_propositions']})"
+
+
+@query(f"""SELECT doc_id AS id, place, {_line_sql("'P' || place || ':'")} AS line FROM (
+    SELECT p.doc_id, p.place, {_entities_sql('p.text', 3)} AS entities, coalesce(t.topics, []) AS topics, {_first_three('e')} AS emotions, {_first_three('f')} AS flags
+    FROM (SELECT *, {_signal_sql(L.EMOTION_SIGNALS)} AS e, {_signal_sql(L.FLAG_SIGNALS)} AS f FROM ({_PROPOSED})) p LEFT JOIN ({_topics_sql(f'({_PROPOSED})', 'nth', 3)}) t ON p.nth = t.nth)""")
 def dia_propositions(spark, d):
     return summary.proposition_lines(view(spark, d, "documents"), "doc_id", "text")
 
@@ -529,14 +575,17 @@ def dia_delta(spark, d):
     return values(spark, _NEW).select("id", summary.delta(F.lit(_OLD), F.col("text")).alias("delta"))
 
 
-@query()
+@query(f"""SELECT f.id AS doc_id, round(len(list_filter(coalesce(t.topics, []), lambda x: contains(lower(f.line), x))) / greatest(len(coalesce(t.topics, [])), 1), 6) AS coverage
+    FROM (SELECT id, 'V:3.2' || chr(10) || {_line_sql("'0:'")} || chr(10) || 'JSON:{{"version":"V:3.2","extra":{{"faithfulness":' || faithfulness::VARCHAR || '}}}}' AS line FROM ({_FIELDS})) f
+    LEFT JOIN ({_topics_sql('documents', 'doc_id', 10)}) t ON f.id = t.doc_id""")
 def dia_faithfulness(spark, d):
     docs = view(spark, d, "documents")
     made = summary.summarised(docs, "doc_id", "text")
     return docs.join(made, docs["doc_id"] == made["id"]).select("doc_id", F.round(summary.coverage(F.col("text"), F.col("summary")), 6).alias("coverage"))
 
 
-@query()
+@query(f"""SELECT id, split_part(s, chr(10), 1)[3:] AS version, split_part(split_part(s, chr(10), 2), '|', 1) AS wing, split_part(split_part(s, chr(10), 2), '|', 4) AS title, 1 AS zettels, split_part(s, chr(10), 4)[6:] AS overlay
+    FROM (SELECT id, summary AS s FROM ({_SUMMARIES}))""")
 def dia_decode(spark, d):
     made = dia_summaries(spark, d)
     return made.select("id", summary.decoded(F.col("summary")).alias("x")).select("id", "x.version", "x.header.wing", "x.header.title", F.size("x.zettels").alias("zettels"), "x.overlay")
