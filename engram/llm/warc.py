@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import scratch, written
+from engram.llm.common import scratch, small, written
 
 #: Fixed values of the formats.
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
@@ -212,6 +212,8 @@ def write_packages(pages: DataFrame, folder: str | None = None, date: str = "197
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html")).withColumn("sha1", F.sha1("html"))
     long_enough = rows.select("page_id", "sha1", F.octet_length("html").alias("n")).where(F.col("n") >= least_bytes)
     again = long_enough.groupBy("sha1").agg(F.max("page_id").alias("_keep"), F.count(F.lit(1)).alias("_times")).where("_times > 1").select(F.col("sha1").alias("_sha1"), "_keep")
+    # a small table of repeated payloads is broadcast, so that pages aren't shuffled to learn of it
+    again = small(written(again))
     joined = rows.join(again, rows["sha1"] == again["_sha1"], "left")
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("_keep")), F.col("_keep"))
 
