@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import row_key, written
+from engram.llm.common import row_key, small, written
 from engram.llm.induced import permuted_prefixes, suffix_array
 from engram.llm.textblock import U64, Block, RollingHash, blocks
 
@@ -111,11 +111,12 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
             yield pa.record_batch([*own.columns, *cols], names=["doc_id", "_k", "h", "g1", "g2", "a", "b", "p"])
 
     all_ = rows.mapInArrow(cut, f"{ids}, h long, g1 long, g2 long, a int, b int, p int")
-    shared = all_.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
-    shared = written(all_.join(shared, "h"))
+    # what is joined by h is a written table on either side: small ones are broadcast, and hot hashes can be split
+    shared = small(written(all_.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")))
+    shared = written(all_.join(shared, "h"), release=True)
 
-    distinct = shared.groupBy("h", "g1", "g2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "_k", "a", "b", "p")).alias("at"))
-    distinct = written(distinct.join(_kinds(shared), "h").select("h", "g1", "g2", "times", "at", "mixed", "many"))
+    distinct = written(shared.groupBy("h", "g1", "g2").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "_k", "a", "b", "p")).alias("at")))
+    distinct = distinct.join(small(written(_kinds(distinct))), "h").select("h", "g1", "g2", "times", "at", "mixed", "many")
     again = distinct.where("times > 1").select("h", "g1", "g2")
     whole = shared.join(again, ["h", "g1", "g2"]).select("doc_id", "_k", "a", (F.col("b") + length).alias("b"))
 
@@ -163,7 +164,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
         width = -(-width // 2)
         halves = written(many.mapInArrow(_parted(length, width), f"{ids}, times long, a int, p int, h long, g1 long, g2 long, bytes binary"))
         one = halves.groupBy("h", "g1", "g2").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "_k", "a", "p", "bytes")).alias("at"))
-        one = written(one.join(_kinds(halves), "h").select("h", "g1", "g2", "at.*", "times", "mixed", "many"))
+        one = written(one.join(small(written(_kinds(halves))), "h").select("h", "g1", "g2", "at.*", "times", "mixed", "many"))
         again = one.where("times > 1").select("h", "g1", "g2")
         spans = spans.unionByName(halves.where("times = 1").join(again, ["h", "g1", "g2"]).select("doc_id", "_k", "a", (F.col("a") + F.length("bytes")).alias("b")))
         parts = one.where("mixed").select(*parts.columns)
