@@ -30,8 +30,8 @@ from engram.llm.tokenizing import pieces
 MAGIC = b"ENGTOK01"
 FOOTER = "<QQ32s8s"
 
-#: The dictionary is trained on this many documents at most, of at most so many characters each,
-#: chosen by hashes of their ids.
+#: The dictionary is trained on this many documents at most, the first so many characters of each,
+#: chosen by hashes of their ids and texts.
 SAMPLE, SAMPLE_CHARS = 400, 20_000
 DICTIONARY_BYTES = 1 << 16
 #: Bytes that a reader takes at once.
@@ -54,24 +54,25 @@ def _packed(width: str) -> str:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, width: str, end_id: int) -> bytes:
-    """The dictionary, from the sample; empty if the sample is too small to train on."""
+    """The dictionary, from the sample; of one that is too small to train on, its ids themselves."""
     import zstandard
 
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.select("doc_id").count()))) < SAMPLE
-    texts = [r.text for r in docs.where(chosen & (F.length("text") <= SAMPLE_CHARS)).select("text").limit(SAMPLE).collect()]
+    chance = F.xxhash64("doc_id", "text")
+    sample = docs.where(F.pmod(chance, F.lit(max(1, docs.select("doc_id").count()))) < 2 * SAMPLE)
+    texts = [r.t or "" for r in sample.select(chance.alias("c"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy("c", "t").limit(SAMPLE).collect()]
     end = np.array([end_id], width).tobytes()
     arrays = [b"".join(pieces(tokenizer, _packed(width)).values(t)) + end for t in texts]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return b"".join(arrays)[:DICTIONARY_BYTES]
 
 
 def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the ids of every whole text, ``end_id`` after each, and returns the manifest.
 
     The manifest, a written table, has a row per file: part (their order), file, n_docs, n_tokens,
-    dictionary (the file that holds it). Only files that it names count; those of failed tasks are never named.
+    dictionary (the file that holds it), dictionary_bytes. Only files that it names count; those of failed tasks are never named.
     A null or empty text has the end id alone. A null document id comes first; documents that
     share an id stand in order of their texts. An empty table gives an empty manifest.
     """
@@ -123,12 +124,13 @@ def write_token_store(docs: DataFrame, tokenizer: str, end_id: int = 2, folder:
         out.write(body)
         out.write(struct.pack(FOOTER, at, len(body), digest, width.encode().ljust(8)))
         out.close()
-        row = [pa.array([part], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([sum(map(len, index))], pa.int64()), pa.array([tokens], pa.int64()), pa.array([f"{folder}/dictionary"])]
-        yield pa.record_batch(row, names=["part", "file", "n_docs", "n_tokens", "dictionary"])
+        row = [pa.array([part], pa.int64()), pa.array([f"{folder}/{name}"]), pa.array([sum(map(len, index))], pa.int64()), pa.array([tokens], pa.int64()), pa.array([f"{folder}/dictionary"]), pa.array([len(dictionary)], pa.int64())]
+        yield pa.record_batch(row, names=["part", "file", "n_docs", "n_tokens", "dictionary", "dictionary_bytes"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(write, "part long, file string, n_docs long, n_tokens long, dictionary string"))
+    # texts of one id go on in later parts; their beginnings bound what the planner samples
+    ordered = rows.repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    return written(ordered.mapInArrow(write, "part long, file string, n_docs long, n_tokens long, dictionary string, dictionary_bytes long"))
 
 
 class TokenFile:

@@ -55,3 +55,24 @@ def test_null_and_repeated_ids(spark):
 def test_empty_table(spark):
     manifest = write_token_store(docs_of(spark).limit(0), PATH)
     assert manifest.count() == 0 and read_token_store(spark, manifest).count() == 0
+
+
+def _files(spark, docs):
+    rows = write_token_store(docs, PATH).orderBy("part").collect()
+    assert all(r.dictionary_bytes > 0 for r in rows)
+    return [open(r.file.removeprefix("file://"), "rb").read() for r in rows]
+
+
+def test_one_id_for_all_and_long_texts_only(spark):
+    long = [" ".join(f"w{k * j % 997}" for k in range(9000)) for j in range(1, 4)]
+    docs = docs_of(spark, [*long, *long, *sample_texts()[1:12]], [7] * 17).repartition(5)
+    files = _files(spark, docs)
+    assert len(files) > 1 and files == _files(spark, docs.repartition(3))
+    got = read_token_store(spark, write_token_store(docs, PATH), with_ids=True).orderBy("start").collect()
+    assert [r.ids for r in got] == encoded(sorted([*long, *long, *sample_texts()[1:12]]))
+
+
+def test_a_dictionary_of_few_documents(spark):
+    docs = docs_of(spark, ["two words", "two more words"])
+    assert _files(spark, docs)
+    assert [r.n_tokens for r in read_token_store(spark, write_token_store(docs, PATH)).orderBy("start").collect()] == [len(x) for x in encoded(["two words", "two more words"])]
