@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.functions import lexicon as L
@@ -95,6 +95,41 @@ _distance("inner", f"1 - list_dot_product({_EMB}, {_PROBE})")
 _distance("sqeuclidean", f"list_sum(list_transform(list_zip({_EMB}, {_PROBE}), lambda p: (p[1] - p[2]) * (p[1] - p[2])))")
 
 
+_CENTRED = f"SELECT id, e, p, list_avg(e) AS m, list_avg(p) AS n FROM (SELECT id, {_EMB} AS e, {_PROBE} AS p FROM vec)"
+
+
+@query(f"SELECT id, round(1 - list_sum(list_transform(list_zip(e, p), lambda z: (z[1] - m) * (z[2] - n))) / sqrt(list_sum(list_transform(e, lambda x: (x - m) * (x - m))) * list_sum(list_transform(p, lambda x: (x - n) * (x - n)))), 6) AS distance FROM ({_CENTRED})")
+def vec_distance_pearson(spark, d):
+    return view(spark, d, "vec").select("id", F.round(V.pearson_distance(F.col("embedding"), F.array(*map(F.lit, PROBE))), 6).alias("distance"))
+
+
+def _shares(column: str) -> str:
+    """Squares as parts of their sum: a distribution."""
+    return f"list_transform({column}, lambda x: x * x / list_dot_product({column}, {column}))"
+
+
+_PART = "CASE WHEN z[{a}] > 0 THEN z[{a}] * ln(2 * z[{a}] / (z[1] + z[2])) ELSE 0 END / 2"
+
+
+@query(f"SELECT id, round(list_sum(list_transform(list_zip(a, b), lambda z: {_PART.format(a=1)} + {_PART.format(a=2)})), 6) AS distance FROM (SELECT id, {_shares('e')} AS a, {_shares('p')} AS b FROM ({_CENTRED}))")
+def vec_distance_divergence(spark, d):
+    def shares(v):
+        return F.transform(v, lambda x: x.cast("double") * x.cast("double") / V.dot(v, v))
+
+    rows = view(spark, d, "vec").select("id", shares(F.col("embedding")).alias("a"), shares(F.array(*map(F.lit, PROBE))).alias("b"))
+    return rows.select("id", F.round(V.divergence(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+@query("""SELECT c_custkey, round(1 - bit_count(c_custkey & 12345) / bit_count(c_custkey | 12345), 6) AS jaccard, round(1 - 2 * bit_count(c_custkey & 12345) / (bit_count(c_custkey) + bit_count(12345)), 6) AS sorensen,
+    len(list_filter(range(1, greatest(length(c_name), length(c_mktsegment)) + 1), lambda i: c_name[i] <> c_mktsegment[i])) AS unlike,
+    round(1 - len(list_intersect(string_split(lower(c_name), ''), string_split(lower(c_mktsegment), ''))) / len(list_distinct(list_concat(string_split(lower(c_name), ''), string_split(lower(c_mktsegment), '')))), 6) AS letters FROM customer""")
+def fn_set_distances(spark, d):
+    c, other = view(spark, d, "customer"), F.lit(12345).cast("long")
+    key = F.col("c_custkey").cast("long")
+    letters = V.jaccard_sets(*(F.array_distinct(F.split(F.lower(x), "")) for x in ("c_name", "c_mktsegment")))
+    return c.select("c_custkey", F.round(V.jaccard_bits(key, other), 6).alias("jaccard"), F.round(V.sorensen_bits(key, other), 6).alias("sorensen"), V.hamming_unicode(F.col("c_name"), F.col("c_mktsegment")).alias("unlike"), F.round(letters, 6).alias("letters"))
+
+
 @query("SELECT c_custkey, round(2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(s - c) / 2), 2) + cos(radians(c)) * cos(radians(s)) * pow(sin(radians(n - m) / 2), 2)))), 3) AS meters, levenshtein(c_name, c_mktsegment) AS edits, bit_count(xor(c_custkey, 12345)) AS bits FROM (SELECT *, c_custkey % 90 AS c, c_nationkey AS s, c_custkey % 180 AS m, c_nationkey * 3 AS n FROM customer)")
 def fn_distances(spark, d):
     c = view(spark, d, "customer")
@@ -412,25 +447,41 @@ def _signal_sql(mapping: dict[str, str]) -> str:
     return f"list_filter([{cases}], lambda x: x IS NOT NULL)"
 
 
+def _planted(words) -> str:
+    """For each document one or two words of a lexicon, by its id, as the test texts hold none."""
+    listed = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+    return f"{listed}[doc_id % {len(words)} + 1] || ' ' || {listed}[doc_id * 7 % {len(words)} + 1]"
+
+
+def _plant(words) -> Column:
+    listed = F.array(*map(F.lit, words))
+    return F.concat(F.get(listed, (F.col("doc_id") % len(words)).cast("int")), F.lit(" "), F.get(listed, (F.col("doc_id") * 7 % len(words)).cast("int")))
+
+
 def _first_three(column: str) -> str:
     return f"list_filter({column}, lambda x, i: list_position({column}, x) = i)[1:3]"
 
 
-#: Words of the test texts in the place of a lexicon that never occurs in them.
-_SIGNALS = {"the": "DECISION", "of": "ORIGIN", "and": "CORE", "des": "PIVOT", "und": "TECHNICAL", "con": "OTHER"}
+_FLAGGED = f"SELECT doc_id, text || ' ' || {_planted(L.FLAG_SIGNALS)} AS text FROM documents"
 
 
-@query(f"SELECT doc_id, {_first_three('f')} AS flags, {_first_three('e')} AS emotions FROM (SELECT doc_id, {_signal_sql(_SIGNALS)} AS f, {_signal_sql(L.EMOTION_SIGNALS)} AS e FROM documents)")
+@query(f"SELECT doc_id, {_first_three('f')} AS flags, {_first_three('e')} AS emotions FROM (SELECT doc_id, {_signal_sql(L.FLAG_SIGNALS)} AS f, {_signal_sql(L.EMOTION_SIGNALS)} AS e FROM ({_FLAGGED}))")
 def txt_flags_emotions(spark, d):
-    return view(spark, d, "documents").select("doc_id", T.flags("text", _SIGNALS).alias("flags"), T.emotions("text").alias("emotions"))
+    docs = view(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), _plant(L.FLAG_SIGNALS)).alias("text"))
+    return docs.select("doc_id", T.flags("text").alias("flags"), T.emotions("text").alias("emotions"))
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-_GOOD, _BAD = ["the", "des", "und"], ["of", "con", "les"]
+_MOODS = [*L.POSITIVE_WORDS, *L.NEGATIVE_WORDS]
 
 
-@query("SELECT doc_id, CASE WHEN p + n = 0 THEN 0.0::DOUBLE ELSE round((p - n) / (p + n), 6) END AS sentiment FROM (SELECT doc_id, len(list_filter(w, lambda x: list_contains(['the','des','und'], x))) AS p, len(list_filter(w, lambda x: list_contains(['of','con','les'], x))) AS n FROM (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM documents))")
+@query(f"SELECT doc_id, CASE WHEN p + n = 0 THEN 0.0::DOUBLE ELSE round((p - n) / (p + n), 6) END AS sentiment FROM (SELECT doc_id, len(list_filter(w, lambda x: list_contains({_listed(L.POSITIVE_WORDS)}, x))) AS p, len(list_filter(w, lambda x: list_contains({_listed(L.NEGATIVE_WORDS)}, x))) AS n FROM (SELECT doc_id, regexp_split_to_array(lower(text || ' ' || {_planted(_MOODS)}), '[^\\p{{L}}\\p{{N}}]+') AS w FROM documents))")
 def txt_sentiment(spark, d):
-    return view(spark, d, "documents").select("doc_id", F.round(T.sentiment("text", _GOOD, _BAD), 6).alias("sentiment"))
+    docs = view(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), _plant(_MOODS)).alias("text"))
+    return docs.select("doc_id", F.round(T.sentiment("text"), 6).alias("sentiment"))
 
 
 _ROOMS = {"alpha": ["the", "tion"], "beta": ["of", "est"], "gamma": ["que", "und"]}
@@ -476,12 +527,12 @@ def ing_chunks(spark, d):
 
 #: Sentences whose kinds are known.
 _SENTENCES = [
-    "We decided to go with Rust because of its memory safety.",
-    "I prefer functional style over imperative.",
-    "It finally works! Breakthrough in compression.",
-    "The bug is causing a crash in production.",
-    "The bug was fixed and it works now.",
-    "I prefer Rust.",
+    "We decided to use Postgres because it keeps our data consistent.",
+    "I prefer short functions and always use plain names.",
+    "At last it works! That search index is a breakthrough.",
+    "The importer has a bug and keeps crashing on empty files.",
+    "The importer had a bug, but we fixed it and now it works.",
+    "I prefer tea.",
     "I love you and I miss you, I feel so happy",
     "WHO: Alice decided. WHAT: use Spark. WHY: it scales. CONFIDENCE: high",
     "Nothing to see here at all, move along please",
@@ -492,10 +543,9 @@ def _marker_sql(patterns: list[str]) -> str:
     return " + ".join("len(regexp_extract_all(lower(text), '" + p.replace("'", "''") + "'))" for p in patterns)
 
 
-@query(f"""SELECT id, {', '.join(f'({_marker_sql(p)}) AS score_{k.lower()}' for k, p in extract.KINDS.items())} FROM {_values_sql(_SENTENCES)}""")
+@query(f"""SELECT doc_id, {', '.join(f'({_marker_sql(p)}) AS score_{k.lower()}' for k, p in extract.KINDS.items())} FROM documents""")
 def txt_marker_scores(spark, d):
-    rows = extract.with_kind(values(spark, _SENTENCES), "text")
-    return rows.select("id", *(F.col(f"score_{k.lower()}") for k in extract.KINDS))
+    return view(spark, d, "documents").select("doc_id", *(T.marker_score(F.col("text"), p).alias(f"score_{k.lower()}") for k, p in extract.KINDS.items()))
 
 
 @query("SELECT * FROM (VALUES (0, 'Decision'), (1, 'Preference'), (2, 'Milestone'), (3, 'Problem'), (4, 'Milestone'), (6, 'Emotional'), (7, 'Decision')) v(id, memory_type)")
@@ -632,6 +682,14 @@ def nrm_transcript(spark, d):
     return transcripts.joined_messages(view(spark, d, "conversations"))
 
 
+@query(f"""SELECT id, CASE WHEN n < 2 THEN export ELSE transcript END AS transcript FROM ({ORACLES['nrm_transcript']}) t
+    JOIN (SELECT conv_id, count(*) AS n, to_json(list({{'role': role, 'content': text}} ORDER BY turn))::VARCHAR AS export FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id) c ON t.id = c.conv_id""")
+def nrm_flat_exports(spark, d):
+    said = view(spark, d, "conversations").where("role IN ('user', 'assistant')")
+    each = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    return transcripts.transcripts(said.groupBy("conv_id").agg(F.to_json(each).alias("text")), "conv_id", "text")
+
+
 _EXPORTS = [
     '{"type":"human","message":{"content":"hello"}}\n{"type":"assistant","message":{"content":[{"type":"text","text":"hi there"}]}}',
     '[{"role":"human","content":"hello"},{"role":"ai","content":{"text":"hi"}}]',
@@ -646,9 +704,9 @@ def nrm_exports(spark, d):
     return transcripts.transcripts(values(spark, _EXPORTS), "id", "text")
 
 
-@query("SELECT * FROM (VALUES (0, 'already know the question'), (1, 'Keep CamelCase and v2.0 as they were')) v(id, text)")
+@query("SELECT * FROM (VALUES (0, 'please check it before the switch'), (1, 'Keep CamelCase and v2.0 as wre they')) v(id, text)")
 def spell_correct(spark, d):
-    return spelling.corrected(values(spark, ["alredy knoe the quetsion", "Keep CamelCase and v2.0 as tehy were"]), "id", "text", spelling.default_dictionary() | {"the": 100, "and": 100})
+    return spelling.corrected(values(spark, ["pleese chekc it befor the swicth", "Keep CamelCase and v2.0 as wre they"]), "id", "text", spelling.default_dictionary() | {"the": 100, "and": 100})
 
 
 def _log() -> list[str]:

@@ -113,8 +113,8 @@ def test_transcripts(text, want):
 
 def test_spelling():
     speller = Speller(default_dictionary())
-    assert speller.text("I alredy knoe it, Bob's qestion!") == "I already know it, Bob's question!"
-    assert speller.transcript("> alredy\nalredy") == "> already\nalredy"
+    assert speller.text("I alwready knwo it, Bob's pleese!") == "I already know it, Bob's please!"
+    assert speller.transcript("> pleese\npleese") == "> please\npleese"
 
 
 def _awkward(n=400):
