@@ -650,12 +650,16 @@ def dia_merge(spark, d):
 # --- entities, transcripts, sessions, spelling ------------------------------------------------
 
 
-@query(f"""SELECT doc_id AS id, w AS name, count(*) AS frequency FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b([A-Z][a-zA-Z0-9]{{1,19}})\\b', 1)) AS w FROM documents WHERE lang = 'en' AND NOT contains(text, '`') AND NOT contains(text, '$') AND NOT regexp_matches(text, '[^\\x00-\\x7F]') AND NOT regexp_matches(text, '[A-Z][a-z]+\\s+[A-Z][a-z]'))
-    WHERE NOT list_contains({_STOP}, lower(w)) GROUP BY ALL HAVING count(*) >= 3""")
+@query(f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`.*?`', '', 'g'), '(?m)^\\$\\s+.*', '', 'g') AS t FROM documents),
+    runs AS (SELECT doc_id, unnest(regexp_extract_all(t, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+')) AS w FROM t),
+    single AS (SELECT doc_id, w FROM runs WHERE regexp_full_match(w, '[A-Z][a-zA-Z0-9]{{1,19}}') AND NOT list_contains({_STOP}, lower(w))),
+    phrase AS (SELECT doc_id, regexp_split_to_array(p, '\\s+') AS p FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b', 1)) AS p FROM t)),
+    parts AS (SELECT doc_id, p[i : i + n - 1] AS p FROM (SELECT doc_id, p, n, unnest(range(1, len(p) - n + 2)) AS i FROM (SELECT doc_id, p, unnest(range(2, least(len(p), 12) + 1)) AS n FROM phrase))),
+    named AS (SELECT doc_id, array_to_string(p, ' ') AS w FROM parts WHERE len(list_filter(p, lambda x: NOT list_contains({_STOP}, lower(x)))) >= 2),
+    files AS (SELECT doc_id, split_part(f, '.', 1) AS w FROM (SELECT doc_id, unnest(regexp_extract_all(t, '\\b([a-z0-9_-]+\\.(?:rs|py|js|ts|sh))\\b', 1)) AS f FROM t) WHERE length(split_part(f, '.', 1)) > 1)
+    SELECT doc_id AS id, w AS name, count(*) AS frequency FROM (SELECT * FROM single UNION ALL SELECT * FROM named UNION ALL SELECT * FROM files) GROUP BY ALL HAVING count(*) >= 3""")
 def ent_candidates(spark, d):
-    docs = view(spark, d, "documents").where("lang = 'en' AND NOT contains(text, '`') AND NOT contains(text, '$')")
-    docs = docs.where(~F.rlike("text", F.lit(r"[^\x00-\x7F]")) & ~F.rlike("text", F.lit(r"[A-Z][a-z]+\s+[A-Z][a-z]")))
-    return entities.candidates(docs.withColumn("text", F.regexp_replace("text", r"\.(rs|py|js|ts|sh)\b", "")), "doc_id", "text")
+    return entities.candidates(view(spark, d, "documents"), "doc_id", "text")
 
 
 _PEOPLE = ["Alice said hello.\nShe laughed. Alice said so.\nThanks Alice, Alice told him everything.", "We deploy Orion today. The Orion pipeline is built. import Orion", "SomeWord here. SomeWord there. SomeWord again. SomeWord too. SomeWord last."]
