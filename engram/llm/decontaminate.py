@@ -16,22 +16,30 @@ from pyspark.sql import functions as F
 
 from engram.llm.common import row_key, small, written
 
-#: Letters and digits of ASCII, A-Z in lower case, and all beyond ASCII.
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _runs_of(letters: str) -> str:
+    """Runs of digits, of letters and of all beyond ASCII. What is left out is listed one by one, which the matcher looks up in a table."""
+    return "[^" + "".join(f"\\x{c:02X}" for c in range(128) if chr(c) not in "0123456789" + letters) + "]+"
+
+
+#: Words of texts with A-Z in lower case, and of texts as they are: the same places.
+WORDS, ANY_WORDS = _runs_of(LOWER), _runs_of(LOWER + UPPER)
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; none of a null text."""
     return F.coalesce(F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORDS), F.lit(0)), F.array().cast("array<string>"))
 
 
 def _shingles(df: DataFrame, n: int, keep: list[str]) -> DataFrame:
-    """A row for each place where n words of the array column ``w`` follow one another: keep, pos, id (a hash of n and the words)."""
+    """A row for each place where n words of the array column ``w`` follow one another: keep, pos, id (a hash of n and the words in lower case)."""
     # an explode of one element keeps an expression from being evaluated for each of its uses
-    hashed = df.where(F.size("w") >= n).select(*keep, F.explode(F.array(F.transform("w", lambda x: F.xxhash64(x)))).alias("h"))
-    ids = F.expr(f"transform(sequence(0, size(h) - {n}), i -> xxhash64({n}, {', '.join(f'h[i + {k}]' for k in range(n))}))")
-    return hashed.select(*keep, F.posexplode(ids).alias("pos", "id"))
+    hashed = df.where(F.size("w") >= n).select(*keep, F.explode(F.array(F.transform("w", lambda x: F.xxhash64(F.lower(x))))).alias("h"))
+    parts = [F.slice("h", k + 1, F.size("h") - (n - 1)).alias(f"h{k}") for k in range(n)]
+    each = hashed.select(*keep, F.posexplode(F.arrays_zip(*parts)).alias("pos", "s"))
+    return each.select(*keep, "pos", F.xxhash64(F.lit(n), *(f"s.h{k}" for k in range(n))).alias("id"))
 
 
 def _of_sizes(df: DataFrame, sizes: list[int], keep: list[str], own: bool) -> DataFrame:
@@ -58,7 +66,8 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, window: int = 13, shingl
     if not sizes:
         return rows.select("doc_id", "_k", F.lit(None).cast(benchmark.schema[item_col].dataType).alias("item_id"), F.lit(0).alias("first"), F.lit(0).alias("last")).where(F.lit(False))
     of_windows = written(_of_sizes(windows, sizes, ["window", "length"], True))
-    found = rows.select("doc_id", "_k", words(F.col("text")).alias("w"))
+    # words in any case: shingles are hashed in lower case throughout, beyond A-Z too, which only adds candidates
+    found = rows.where("text IS NOT NULL").select("doc_id", "_k", F.regexp_extract_all("text", F.lit(ANY_WORDS), F.lit(0)).alias("w"))
 
     # rarity: how often documents have each shingle; a window with one that none has can't occur
     wanted = small(written(of_windows.select("id").distinct()))
@@ -102,7 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, shing
         .select(F.col("doc_id").alias("_doc"), F.col("_k").alias("_row"), "n_hit", "items")
     )
     hit = small(written(hit))
-    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("_k"), F.coalesce(F.regexp_count(F.translate(F.col(text_col), UPPER, LOWER), F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("_k"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(ANY_WORDS)), F.lit(0)).cast("long").alias("n_words"))
     joined = rows.join(hit, (rows["_k"] == hit["_row"]) & rows["doc_id"].eqNullSafe(hit["_doc"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
