@@ -63,3 +63,14 @@ def test_repeated_rows_are_kept_once(spark):
     docs = docs_of(spark, ["a b c d e f g"] * 3 + ["other words here that differ"], ids=[1, 1, 2, None], extra=False)
     assert sorted((r.doc_id, r.text) for r in pipeline.near_dedup(spark, docs, SF).collect() if r.doc_id) == [(1, "a b c d e f g")]
     assert pipeline.near_dedup(spark, docs, SF).count() == 2
+
+
+def test_stages_stand_columns_that_clash(spark):
+    names = ["_times", "_doc", "_row", "_key", "_k", "_comp", "node", "n_words", "size", "_copy", "copies", "places", "w", "n_hit"]
+    docs = docs_of(spark, extra=False)
+    for n in names:
+        docs = docs.withColumn(n, docs["doc_id"].cast("string"))
+    for _, stage in pipeline.STAGES[:-1]:
+        out = written(stage(spark, docs, SF))
+        assert out.columns == docs.columns and all(r[n] == str(r.doc_id) for r in out.collect() for n in names)
+    assert pipeline.token_output(spark, docs, SF).count() == docs.count()
