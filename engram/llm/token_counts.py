@@ -2,11 +2,12 @@
 
 One pass finds the distinct pre-tokens of all documents; each is encoded once and only its number of
 ids is kept. Another pass counts each document's pre-tokens, and these frequencies are joined to that
-table and summed. Summing starts before the exchange, so a document sends one row of sums.
-Pre-tokens travel as 64-bit hashes; if two of the table share one, all is hashed with another seed.
+table and summed. Pre-tokens travel as 64-bit hashes; if two of the table share one, all are hashed
+with another seed.
 
-The table of all pre-tokens of a large corpus has no bound. Those that most tasks met are broadcast,
-as many as ``BROADCAST_BYTES`` allow, and only occurrences of the others are exchanged.
+The table of all pre-tokens of a large corpus has no bound. Those that most tasks met, as many as
+``BROADCAST_BYTES`` allow, go to all workers and are joined where the frequencies are counted, by
+binary search; only occurrences of the others are exchanged.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from engram.llm.tokenizing import pieces
 
 #: Pre-tokens that a task remembers to have told already, or the hashes of; beyond it the memory starts anew.
 _REMEMBERED = 300_000
-#: Of the pre-tokens so many bytes are broadcast, at this size of an entry.
-BROADCAST_BYTES, _ENTRY = 32 << 20, 24
+#: Of the pre-tokens so many bytes go to all workers, at this size of an entry (hash, number of ids).
+BROADCAST_BYTES, _ENTRY = 8 << 20, 16
 
 
 def distinct_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -40,7 +41,7 @@ def distinct_pieces(docs: DataFrame, tokenizer: str) -> DataFrame:
             new = set()
             for text in block.rows.column(0).to_pylist():
                 new.update(known.cut_up(text or "")[0])
-            new -= told
+            new = new - told
             if len(told) > _REMEMBERED:
                 told.clear()
             told |= new
@@ -62,31 +63,42 @@ def encoded(found: DataFrame, tokenizer: str, seed: int) -> DataFrame:
     return found.mapInArrow(encode, "key long, n long, met long")
 
 
-def frequencies(docs: DataFrame, tokenizer: str, seed: int) -> DataFrame:
-    """A row per row of ``docs`` (doc_id, text): doc_id, n_bytes, digest of the text, ids of its special strings, keys and times of its pre-tokens."""
+def frequencies(docs: DataFrame, tokenizer: str, seed: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """A row per row of ``docs`` (doc_id, text): doc_id, n_bytes, digest of the text, tokens, keys, times.
+
+    ``tokens`` are those of special strings and of the ``common`` pre-tokens (ascending hashes, and
+    their numbers of ids); the others' hashes and times follow.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, hashed = pieces(tokenizer), {}
+        held, ids = shared.value
         for block in blocks(batches):
-            digests, others, keys, times, ends = [], [], [], [], [0]
+            digests, tokens, keys, times, sizes = [], [], [], [], []
             for text in block.rows.column(1).to_pylist():
                 found, special = known.cut_up(text or "")
                 tallied = Counter(found)
-                for piece in tallied.keys() - hashed.keys():
-                    hashed[piece] = xxhash.xxh3_64_intdigest(piece, seed)
+                for piece in tallied:
+                    if piece not in hashed:
+                        hashed[piece] = xxhash.xxh3_64_intdigest(piece, seed)
                 keys += map(hashed.__getitem__, tallied)
                 times += tallied.values()
-                ends.append(len(keys))
+                sizes.append(len(tallied))
                 digests.append(xxhash.xxh3_128_digest(text or ""))
-                others.append(special)
+                tokens.append(special)
                 if len(hashed) > _REMEMBERED:
                     hashed.clear()
-            offsets = pa.array(ends, pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(np.array(keys, np.uint64).astype(np.int64)), pa.array(times, pa.int32()))]
-            yield pa.record_batch([block.rows.column(0), pa.array(block.lengths, pa.int64()), pa.array(digests, pa.binary()), pa.array(others, pa.int64()), *lists], names=["doc_id", "n_bytes", "digest", "special", "keys", "times"])
+            key, n, owner = np.array(keys, np.uint64).astype(np.int64), np.array(times, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(held, key), max(0, len(held) - 1))
+            here = held[at] == key if len(held) else np.zeros(len(key), bool)
+            total = np.array(tokens, np.int64) + np.bincount(owner[here], n[here] * ids[at[here]], len(sizes)).astype(np.int64)
+            offsets = pa.array(np.append(0, np.cumsum(np.bincount(owner[~here], minlength=len(sizes)))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[~here])) for x in (key, n)]
+            yield pa.record_batch([block.rows.column(0), pa.array(block.lengths, pa.int64()), pa.array(digests, pa.binary()), pa.array(total), *lists], names=["doc_id", "n_bytes", "digest", "tokens", "keys", "times"])
 
-    return docs.mapInArrow(tally, f"doc_id {kind}, n_bytes long, digest binary, special long, keys array<long>, times array<int>")
+    return docs.mapInArrow(tally, f"doc_id {kind}, n_bytes long, digest binary, tokens long, keys array<long>, times array<long>")
 
 
 def _hot(table: DataFrame, most: int) -> int:
@@ -116,18 +128,20 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, id_col: str
         if table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
     hot = _hot(table, broadcast_bytes // _ENTRY)
-    common = F.broadcast(table.where(F.col("met") >= hot).select("key", "n"))
+    common = table.where(F.col("met") >= hot).select("key", "n").toPandas().sort_values("key")
 
-    # equal rows are one group, and come apart again at the end
+    # equal rows are one group, and come apart again at the end; a row of their own keeps rows without pieces
     row = ["doc_id", "n_bytes", "digest"]
-    tallied = frequencies(rows, tokenizer, seed)
-    own = F.struct(F.lit(None).cast("long").alias("keys"), F.lit(None).cast("int").alias("times"), F.lit(1).alias("rows"), F.col("special"))
-    each = F.transform(F.arrays_zip("keys", "times"), lambda x: F.struct(x["keys"].alias("keys"), x["times"].alias("times"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("special")))
-    each = tallied.select(*row, F.inline(F.concat(F.array(own), each))).withColumnRenamed("keys", "key")
-    parts = each.join(common, "key", "left").select(*row, "rows", (F.coalesce(F.col("n") * F.col("times"), F.lit(0)) + F.col("special")).alias("tokens"))
+    tallied = frequencies(rows, tokenizer, seed, (common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
     if hot:
-        rest = each.where("key IS NOT NULL").join(common, "key", "left_anti").join(table.where(F.col("met") < hot).select("key", "n"), "key")
-        parts = parts.unionByName(rest.select(*row, F.lit(0).alias("rows"), (F.col("n") * F.col("times")).alias("tokens")))
+        own = F.struct(F.xxhash64("digest").alias("key"), F.lit(0).cast("long").alias("times"), F.lit(1).alias("rows"), F.col("tokens"))
+        each = F.transform(F.arrays_zip("keys", "times"), lambda x: F.struct(x["keys"].alias("key"), x["times"].alias("times"), F.lit(0).alias("rows"), F.lit(0).cast("long").alias("tokens")))
+        parts = tallied.select(*row, F.inline(F.concat(F.array(own), each)))
+        rest = table.where(F.col("met") < hot).select(F.col("key").alias("_key"), "n")
+        parts = parts.join(rest, F.col("key") == F.col("_key"), "left")
+        parts = parts.select(*row, "rows", (F.col("tokens") + F.coalesce(F.col("n"), F.lit(0)) * F.col("times")).alias("tokens"))
+    else:
+        parts = tallied.select(*row, F.lit(1).alias("rows"), "tokens")
     summed = parts.groupBy(*row).agg(F.sum("rows").cast("int").alias("rows"), F.sum("tokens").alias("tokens"))
     n_tokens = F.floor(F.col("tokens") / F.col("rows")).cast("long")
     out = summed.select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), F.explode(F.sequence(F.lit(1), "rows")))
