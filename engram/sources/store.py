@@ -32,6 +32,44 @@ def empty_memories(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], MEMORY_SCHEMA)
 
 
+#: The tables of a store by name.
+SCHEMAS = {
+    "memories": MEMORY_SCHEMA,
+    "entities": "id string, name string, type string",
+    "triples": "id string, subject string, predicate string, object string, valid_from string, valid_to string, confidence double",
+    "diary": "id long, agent string, content string, entry_ts timestamp",
+    "people": "name string, confidence double, aliases array<string>, ambiguous boolean",
+}
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the complete versions of a table, ascending."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(top):
+        return []
+    names = [x.getPath().getName() for x in files.listStatus(top)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and files.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
+
+
+def read_table(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """The last complete version of a table of a store, with all columns of its schema; empty if there is none."""
+    empty = spark.createDataFrame([], SCHEMAS[name])
+    versions = _versions(spark, f"{store}/{name}")
+    if not versions:
+        return empty
+    return empty.unionByName(spark.read.schema(SCHEMAS[name]).parquet(f"{store}/{name}/v{versions[-1]}"), allowMissingColumns=True)
+
+
+def write_table(table: DataFrame, store: str, name: str) -> None:
+    """A new version beside the ones there are: readers of those, this table among them, aren't disturbed."""
+    versions = _versions(table.sparkSession, f"{store}/{name}")
+    parts = [c for c in ("wing", "room") if c in table.columns]
+    written = table.repartition(*parts).write.partitionBy(*parts) if parts else table.write
+    written.parquet(f"{store}/{name}/v{versions[-1] + 1 if versions else 0}")
+
+
 def repaired(memories: DataFrame, dimension: int = 64, everything: bool = False) -> DataFrame:
     """Memories with vectors for those that have none, or for all."""
     fresh = hashed_embedding(F.col("text_content"), dimension)
