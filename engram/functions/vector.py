@@ -85,6 +85,23 @@ def to_i8(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.round(x * 127).cast("tinyint"))
 
 
+def from_i8(vector: Column) -> Column:
+    """The components that integers from -127 to 127 stand for."""
+    return F.transform(vector, lambda x: (x / 127).cast("float"))
+
+
+def to_bits(vector: Column) -> Column:
+    """One bit a component, set above zero: 64 to a long, the first in the lowest; ``hamming_words`` compares them."""
+    words = F.sequence(F.lit(0), F.floor((F.size(vector) - 1) / 64).cast("int"))
+    bit = lambda part: F.transform(part, lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.transform(words, lambda w: F.aggregate(bit(F.slice(vector, w * 64 + 1, 64)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)))
+
+
+def hamming_words(a: Column, b: Column) -> Column:
+    """Bits that differ between two arrays of longs of the same size."""
+    return F.aggregate(F.zip_with(a, b, hamming_bits), F.lit(0), lambda n, x: n + x)
+
+
 def hashed_embedding(text: Column, dimension: int = 64) -> Column:
     """Deterministic unit vectors of hashed words, where no model is at hand: one count a word, by its hash."""
     words = F.regexp_extract_all(F.lower(F.substring(text, 1, 8192)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

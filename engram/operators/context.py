@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +78,22 @@ def search_json(memories: DataFrame, vectors: DataFrame, query_text: str, query:
     results = F.transform(F.array_sort(F.collect_list(each)), lambda x: x["r"])
     filters = F.struct(F.lit(wing).cast("string").alias("wing"), F.lit(room).cast("string").alias("room"))
     return found.agg(results.alias("results")).select(F.to_json(F.struct(F.lit(query_text).alias("query"), filters.alias("filters"), "results")).alias("json"))
+
+
+@dataclass(frozen=True)
+class Stack:
+    """The layers of context over one store's memories (with their vectors), at one time."""
+
+    memories: DataFrame
+    now: int
+    identity: str | None = None
+
+    def wake_up(self, wing: str | None = None) -> DataFrame:
+        """Identity and essential story."""
+        return wake_up(self.memories, self.now, self.identity, wing)
+
+    def recall(self, wing: str | None = None, room: str | None = None, limit: int = 10) -> DataFrame:
+        return recall_lines(self.memories, wing, room, limit)
+
+    def search(self, query: list[float], k: int = 5, **filters) -> DataFrame:
+        return search_lines(self.memories.drop("embedding"), self.memories.select("id", "embedding", "wing", "room", "valid_from", "valid_to"), query, k, **filters)

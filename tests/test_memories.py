@@ -128,3 +128,23 @@ def test_story_stays_within_its_budget(mem):
     assert lines and lines[-1].total <= context.STORY_CHARS
     assert context.story(mem.limit(0), NOW).first().text == "## L1 — No memories yet."
     assert context.wake_up(mem, NOW, "I am").first().text.startswith("I am\n\n## L1 — ESSENTIAL STORY\n### ")
+
+
+def test_layers_of_context(spark):
+    vec = view(spark, SF, "vec").select("id", "embedding", "valid_from", "valid_to")
+    held = view(spark, SF, "mem").drop("valid_from", "valid_to").join(vec, "id")
+    stack = context.Stack(held, NOW, "I am")
+    assert stack.wake_up().first().text.startswith("I am")
+    assert stack.recall("en", limit=3).count() == 3
+    one = held.first()
+    assert stack.search(list(one.embedding), 1).first().id == one.id
+
+
+def test_vectors_in_few_bits(spark):
+    from engram.functions import vector as V
+
+    rng = random.Random(2)
+    rows = [([rng.uniform(-1, 1) for _ in range(100)], [rng.uniform(-1, 1) for _ in range(100)]) for _ in range(5)]
+    for r in spark.createDataFrame(rows, "a array<float>, b array<float>").select("a", "b", V.hamming_words(V.to_bits(F.col("a")), V.to_bits(F.col("b"))).alias("n"), V.from_i8(V.to_i8(F.col("a"))).alias("near")).collect():
+        assert r.n == sum((x > 0) != (y > 0) for x, y in zip(r.a, r.b))
+        assert max(abs(x - y) for x, y in zip(r.a, r.near)) <= 0.5 / 127 + 1e-6
