@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,28 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = f"file://{tempfile.gettempdir()}/engram-scratch"
-    return f"{top.rstrip('/')}/engram-{uuid.uuid4().hex}"
+    path = f"{top.rstrip('/')}/engram-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+#: Of each ``scratch_dropped`` that is open, the folders made since.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def scratch_dropped(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch folders that are made inside, at the end: results must have been written by then."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.remove(made)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in map(jvm.org.apache.hadoop.fs.Path, made):
+            path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame, release: bool = False) -> DataFrame:
