@@ -32,22 +32,39 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
-#: Of each ``scratch_dropped`` that is open, the folders made since.
+#: Of each ``noted`` that is open, the folders made since.
 _MADE: list[list[str]] = []
 
 
 @contextmanager
-def scratch_dropped(spark: SparkSession) -> Iterator[None]:
-    """Deletes the scratch folders that are made inside, at the end: results must have been written by then."""
+def noted() -> Iterator[list[str]]:
+    """The scratch folders that are made inside, as they are made."""
     made: list[str] = []
     _MADE.append(made)
     try:
-        yield
+        yield made
     finally:
         _MADE.remove(made)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in map(jvm.org.apache.hadoop.fs.Path, made):
-            path.getFileSystem(conf).delete(path, True)
+
+
+def drop(spark: SparkSession, paths: list[str], *but: DataFrame | None) -> None:
+    """Deletes scratch folders, but for those that some tables are read from."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    needed = " ".join(f for table in but if table is not None for f in table.inputFiles())
+    for path in paths:
+        if path.rsplit("/", 1)[-1] not in needed:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch_dropped(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch folders that are made inside, at the end: results must have been written by then."""
+    with noted() as made:
+        try:
+            yield
+        finally:
+            drop(spark, made)
 
 
 def written(df: DataFrame, release: bool = False) -> DataFrame:

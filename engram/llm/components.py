@@ -8,7 +8,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import small, written
+from engram.llm.common import drop, noted, small, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -45,25 +45,27 @@ def with_links(component: DataFrame | None, links: DataFrame) -> DataFrame:
 #: Of a node's shared keys so many are told to the buckets of its other keys.
 _TOLD = 32
 #: Times as many pivots of a bucket from round to round, at most.
-_PIVOTS = 64
+_PIVOTS = 16
 
 
 def parted(entries: DataFrame) -> DataFrame:
     """The entries (key, node, comp, ...) of buckets that hold several components."""
-    keys = written(entries.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("key"))
-    return entries.join(small(keys), "key", "left_semi")
+    keys = entries.groupBy("key").agg(F.min("comp").alias("_c"), F.max("comp").alias("_d")).where("_c <> _d").select("key")
+    return entries.join(keys, "key", "left_semi")
 
 
-def bucket_entries(each: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, node, earlier, rank, sign) for each of ``each`` (node, key: a long) whose key another node has too.
+def bucket_entries(each: DataFrame, signs: DataFrame | None = None) -> DataFrame:
+    """(key, node, earlier, rank, sign) for each of ``each`` (node, key: a long) whose key another row has too.
 
-    ``nodes`` are (node, sign). ``earlier`` are the node's lowest shared keys below this one, at most
-    as many as are told; ``rank`` is the lower, the more nodes share its keys.
+    The signs stand in ``each`` or are those of ``signs`` (node, sign). ``earlier`` are the node's
+    lowest shared keys below this one, at most as many as are told; ``rank`` is the lower, the more
+    nodes share its keys.
     """
+    own = [] if signs is not None else ["sign"]
     shared = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    each = written(each.join(small(shared), "key").select("key", "node", "_n").distinct(), release=True)
+    each = written(each.join(small(shared), "key").select("key", "node", "_n", *own), release=True)
     mine = each.groupBy("node").agg((-F.sum("_n")).alias("rank"), F.slice(F.sort_array(F.collect_set("key")), 1, _TOLD).alias("_told"))
-    held = written(nodes.join(mine, "node").select("node", "sign", "rank", "_told"))
+    held = mine if signs is None else signs.join(mine, "node").select("node", "sign", "rank", "_told")
     entries = each.join(held, "node")
     return entries.select("key", "node", F.filter("_told", lambda k: k < F.col("key")).alias("earlier"), "rank", "sign")
 
@@ -80,23 +82,27 @@ def bucket_components(entries: DataFrame, close: Callable[[Column, Column], Colu
     nodes is left out. Before the second round ``possible`` may drop entries (with their comp) of nodes
     that can't have links to other components of their buckets.
     """
-    component, columns = None, entries.columns
-    for round_ in count():
-        now = entries if component is None else entries.join(component, "node", "left")
-        now = now.withColumn("comp", F.col("node") if component is None else F.coalesce("comp", "node"))
-        now = written(parted(now))
-        if round_ == 1 and possible is not None:
-            now = possible(now)
-        chosen = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(_PIVOTS ** min(round_, 8))).alias("_choice")).agg(F.min(F.struct("rank", "node", "comp", "earlier", "sign")).alias("p"))
-        pivots = written(chosen.select("key", *(F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("node", "comp", "earlier", "sign"))))
-        if pivots.isEmpty():
-            return component
-        chosen = pivots.select("key", F.col("pivot_node").alias("node"), F.lit(True).alias("is_pivot"))
-        marked = now.join(chosen, ["key", "node"], "left")
-        # the cheaper tests first
-        tried = F.expr("comp <> pivot_comp AND (is_pivot IS NULL OR node > pivot_node)") & close(F.col("sign"), F.col("pivot_sign")) & ~F.expr("arrays_overlap(earlier, pivot_earlier)")
-        pairs = marked.join(pivots, "key").where(tried).select(F.least("node", "pivot_node").alias("a"), F.greatest("node", "pivot_node").alias("b")).distinct()
-        found = written(similar(pairs))
-        if not found.isEmpty():
-            component = with_links(component, found)
-        entries = marked.where("is_pivot IS NULL").select(*columns)
+    component, columns, spark = None, entries.columns, entries.sparkSession
+    with noted() as made:
+        for round_ in count():
+            former = list(made)
+            now = entries if component is None else entries.join(component, "node", "left")
+            now = now.withColumn("comp", F.col("node") if component is None else F.coalesce("comp", "node"))
+            now = written(parted(now), release=True)
+            if round_ == 1 and possible is not None:
+                now = possible(now)
+            # tables of former rounds are done with, but for the components
+            drop(spark, former, component)
+            chosen = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(_PIVOTS ** min(round_, 8))).alias("_choice")).agg(F.min(F.struct("rank", "node", "comp", "earlier", "sign")).alias("p"))
+            pivots = written(chosen.select("key", *(F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("node", "comp", "earlier", "sign"))))
+            if pivots.isEmpty():
+                return component
+            chosen = pivots.select("key", F.col("pivot_node").alias("node"), F.lit(True).alias("is_pivot"))
+            marked = now.join(chosen, ["key", "node"], "left")
+            # the cheaper tests first
+            tried = F.expr("comp <> pivot_comp AND (is_pivot IS NULL OR node > pivot_node)") & close(F.col("sign"), F.col("pivot_sign")) & ~F.expr("arrays_overlap(earlier, pivot_earlier)")
+            pairs = marked.join(pivots, "key").where(tried).select(F.least("node", "pivot_node").alias("a"), F.greatest("node", "pivot_node").alias("b")).distinct()
+            found = written(similar(pairs))
+            if not found.isEmpty():
+                component = with_links(component, found)
+            entries = marked.where("is_pivot IS NULL").select(*columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import row_key, small, written
+from engram.llm.common import drop, noted, row_key, small, written
 from engram.llm.components import bucket_components, bucket_entries, parted
 from engram.llm.textblock import TERM, U64, Block, RollingHash, blocks, lowered, mix
 
@@ -36,14 +36,20 @@ class NearRules:
     """Shingles of ``words`` words (a shorter document is one shingle); a link has a similarity of
     ``least`` or more, that of its weighted shingles or that of their sets; ``bands`` bands of
     ``rows`` components for either: at a similarity of 0.8 a link shares no band in 1 of 40 000
-    cases. Candidates are verified unless more than ``unlike`` of all components of either signature
-    differ, as links of 0.8 do in 1 of 30 000 cases."""
+    cases. Signatures have ``more`` components without a band. Candidates are verified unless more
+    than ``unlike`` of all components of either signature differ, as links of 0.8 do in 1 of 30 000
+    cases."""
 
     words: int = 5
     least: float = 0.8
     bands: int = 20
     rows: int = 4
-    unlike: float = 0.39
+    more: int = 130
+    unlike: float = 0.3145
+
+    @property
+    def components(self) -> int:
+        return self.bands * self.rows + self.more
 
 
 def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -138,11 +144,11 @@ def sketch(block: Block, rules: NearRules) -> tuple[list[bytes], list[np.ndarray
     value, times, owner = shingles(word, text, rules.words)
     repeats = np.zeros(texts, bool)
     repeats[owner[times > 1]] = True
-    by_set = signatures(value, np.ones(len(value), np.int64), owner, texts, rules.bands * rules.rows)
+    by_set = signatures(value, np.ones(len(value), np.int64), owner, texts, rules.components)
     by_weight, here = by_set.copy(), np.flatnonzero(repeats[owner])
     if len(here):
         again = np.cumsum(repeats) - 1
-        by_weight[repeats] = signatures(value[here], times[here], again[owner[here]], int(repeats.sum()), rules.bands * rules.rows)
+        by_weight[repeats] = signatures(value[here], times[here], again[owner[here]], int(repeats.sum()), rules.components)
     keys = []
     for signature in (by_weight, by_set):
         key = np.zeros((texts, rules.bands), U64)
@@ -208,7 +214,8 @@ def _possible(entries: DataFrame, texts: DataFrame, rules: NearRules) -> DataFra
     A link by sets between n and m shingles takes least / (1 + least) * (n + m) common ones. Common
     ones are those that nodes of other components have too, and m is at least the smallest number in
     the node's bucket. Probability Jaccard is at most 1 less the distance in variation of the weights
-    over their sums, so in a link by weights common ones have ``least`` of the node's weight.
+    over their sums, so in a link by weights common ones have ``least`` of the node's weight;
+    where no node of a bucket repeats a shingle, links by weights are links by sets.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,9 +230,9 @@ def _possible(entries: DataFrame, texts: DataFrame, rules: NearRules) -> DataFra
     across = shingled.groupBy("s").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).where("_c <> _d").select("s", F.lit(1).alias("_across"))
     share = written(shingled.join(across, "s", "left").groupBy("n").agg(F.count("_across").alias("common"), F.count(F.lit(1)).alias("size"), F.sum(F.col("_across") * F.col("times")).alias("held"), F.sum("times").alias("weight")))
     sized = entries.withColumn("n", F.xxhash64("node")).join(share, "n")
-    fewest = sized.groupBy("key").agg(F.min("size").alias("fewest"))
+    fewest = sized.groupBy("key").agg(F.min("size").alias("fewest"), F.max(F.col("weight") > F.col("size")).alias("repeats"))
     needed = rules.least / (1 + rules.least) * (F.col("size") + F.greatest("fewest", rules.least * F.col("size")))
-    may = (F.col("common") >= needed - 1e-9) | (F.col("held") >= rules.least * F.col("weight") - 1e-9)
+    may = (F.col("common") >= needed - 1e-9) | (F.col("repeats") & (F.col("held") >= rules.least * F.col("weight") - 1e-9))
     return written(parted(sized.join(small(written(fewest)), "key").where(may).select(*entries.columns)))
 
 
@@ -255,17 +262,19 @@ def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str
             yield pa.record_batch([block.rows.column("doc_id"), block.rows.column("_k"), pa.array(digests, pa.binary()), *lists, worded], names=["doc_id", "_k", "node", "bands", "parts", "worded"])
 
     made = written(rows.mapInArrow(sketches, f"doc_id {kind}, _k long, node binary, bands array<long>, parts array<long>, worded boolean"))
-    nodes = made.where("worded").groupBy("node").agg(F.min(F.struct("doc_id", "_k")).alias("rep"), F.first("bands").alias("bands"), F.first("parts").alias("sign"))
-    nodes = written(nodes, release=True)
-    entries = written(bucket_entries(nodes.select("node", F.explode(F.array_distinct("bands")).alias("key")), nodes.select("node", "sign")), release=True)
+    with noted() as scratch:
+        nodes = made.where("worded").groupBy("node").agg(F.min(F.struct("doc_id", "_k")).alias("rep"), F.first("bands").alias("bands"), F.first("parts").alias("sign"))
+        nodes = written(nodes, release=True)
+        entries = written(bucket_entries(nodes.select("node", F.explode(F.array_distinct("bands")).alias("key")), nodes.select("node", "sign")), release=True)
 
-    wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("_doc"), F.col("rep._k").alias("_row"))
-    texts = rows.join(wanted, (rows["_k"] == wanted["_row"]) & rows["doc_id"].eqNullSafe(wanted["_doc"])).select("node", "text")
-    texts = written(texts.dropDuplicates(["node"]), release=True)
-    longs = -(-rules.bands * rules.rows // _PACKED)
+        wanted = nodes.join(entries.select("node").distinct(), "node", "left_semi").select("node", F.col("rep.doc_id").alias("_doc"), F.col("rep._k").alias("_row"))
+        texts = rows.join(wanted, (rows["_k"] == wanted["_row"]) & rows["doc_id"].eqNullSafe(wanted["_doc"])).select("node", "text")
+        texts = written(texts.dropDuplicates(["node"]), release=True)
+        drop(docs.sparkSession, scratch, entries, texts)
+    longs = -(-rules.components // _PACKED)
 
     def close(a: Column, b: Column) -> Column:
-        most = rules.unlike * rules.bands * rules.rows
+        most = rules.unlike * rules.components
         sets = [F.when(F.size(x) > longs, F.slice(x, longs + 1, longs)).otherwise(x) for x in (a, b)]
         repeats = (F.size(a) > longs) | (F.size(b) > longs)
         return (differing(a, b, longs) <= most) | (repeats & (differing(*sets, longs) <= most))
