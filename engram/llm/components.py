@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,8 @@ def with_links(component: DataFrame | None, links: DataFrame) -> DataFrame:
 _TOLD = 32
 #: Times as many pivots of a bucket from round to round, at most.
 _PIVOTS = 16
+#: So many rounds merge the components that they connect at once; later ones find few links, which are merged at the end.
+_MERGED = 2
 
 
 def parted(entries: DataFrame) -> DataFrame:
@@ -83,6 +86,7 @@ def bucket_components(entries: DataFrame, close: Callable[[Column, Column], Colu
     that can't have links to other components of their buckets.
     """
     component, columns, spark = None, entries.columns, entries.sparkSession
+    late: list[DataFrame] = []
     with noted() as made:
         for round_ in count():
             former = list(made)
@@ -91,18 +95,20 @@ def bucket_components(entries: DataFrame, close: Callable[[Column, Column], Colu
             now = written(parted(now), release=True)
             if round_ == 1 and possible is not None:
                 now = possible(now)
-            # tables of former rounds are done with, but for the components
-            drop(spark, former, component)
+            # tables of former rounds are done with, but for the components and the late links
+            drop(spark, former, component, *late)
+            if now.isEmpty():
+                return component if not late else with_links(component, reduce(DataFrame.unionByName, late))
             chosen = now.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(_PIVOTS ** min(round_, 8))).alias("_choice")).agg(F.min(F.struct("rank", "node", "comp", "earlier", "sign")).alias("p"))
             pivots = written(chosen.select("key", *(F.col(f"p.{c}").alias(f"pivot_{c}") for c in ("node", "comp", "earlier", "sign"))))
-            if pivots.isEmpty():
-                return component
             chosen = pivots.select("key", F.col("pivot_node").alias("node"), F.lit(True).alias("is_pivot"))
             marked = now.join(chosen, ["key", "node"], "left")
             # the cheaper tests first
             tried = F.expr("comp <> pivot_comp AND (is_pivot IS NULL OR node > pivot_node)") & close(F.col("sign"), F.col("pivot_sign")) & ~F.expr("arrays_overlap(earlier, pivot_earlier)")
             pairs = marked.join(pivots, "key").where(tried).select(F.least("node", "pivot_node").alias("a"), F.greatest("node", "pivot_node").alias("b")).distinct()
             found = written(similar(pairs))
-            if not found.isEmpty():
+            if not found.isEmpty() and (component is None or round_ < _MERGED):
                 component = with_links(component, found)
+            elif not found.isEmpty():
+                late.append(found)
             entries = marked.where("is_pivot IS NULL").select(*columns)

@@ -233,7 +233,7 @@ def _possible(entries: DataFrame, texts: DataFrame, rules: NearRules) -> DataFra
     fewest = sized.groupBy("key").agg(F.min("size").alias("fewest"), F.max(F.col("weight") > F.col("size")).alias("repeats"))
     needed = rules.least / (1 + rules.least) * (F.col("size") + F.greatest("fewest", rules.least * F.col("size")))
     may = (F.col("common") >= needed - 1e-9) | (F.col("repeats") & (F.col("held") >= rules.least * F.col("weight") - 1e-9))
-    return written(parted(sized.join(small(written(fewest)), "key").where(may).select(*entries.columns)))
+    return written(parted(sized.join(fewest, "key").where(may).select(*entries.columns)))
 
 
 def near_duplicates(docs: DataFrame, rules: NearRules = NearRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
